@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vigil.functions.numbers import percent, round_exact
+from vigil.functions.numbers import round_exact
 from vigil.functions.parse import parse_timestamp
 from vigil.operators import trends
 
@@ -23,43 +23,36 @@ LATEST_SIGNALS = [
 ]
 
 
-def _column(df: DataFrame, name: str, kind: str) -> Column:
-    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
-
-
 def _emitted_ts(df: DataFrame) -> Column:
     if "emitted_ts" in df.columns:
         return F.col("emitted_ts").cast("timestamp")
     return parse_timestamp(F.col("emitted_at"))
 
 
-def _or_unknown(value: Column) -> Column:
-    return F.when(value != "", value).otherwise("unknown")
-
-
 def _rows(reports: DataFrame, arrival: Sequence[str], segment: str | None) -> DataFrame:
     """One narrow row per report, with its rank back from the last arrival."""
-    part = F.lit(0) if segment is None else F.col(segment)
-    rows = reports.withColumn("_segment", part)
-    within = Window.partitionBy("node_id", "_segment").orderBy(*[F.col(c).desc() for c in arrival])
-    health = F.coalesce(F.col("health"), F.lit("unknown"))
-    ts = trends.micros(_emitted_ts(reports))
-    seen = rows.select(
+    last_first = ", ".join(f"{c} DESC" for c in arrival)
+    within = f"PARTITION BY node_id, _segment ORDER BY {last_first}"
+    fixed = {"node_id", "emitted_at", "seq"}
+    absent = [c for c in [*LATEST_SIGNALS, "thresholds_hash"] if c not in reports.columns]
+    seen = reports.select(
         "node_id",
-        "_segment",
-        *[F.col(c) for c in arrival if c not in ("node_id", "emitted_at", "seq")],
-        F.col("emitted_at"),
-        F.col("seq"),
-        F.col("boot_id"),
-        health.alias("health"),
-        F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"),
-        *[_column(reports, c, "double").alias(c) for c in LATEST_SIGNALS],
-        _column(reports, "thresholds_hash", "string").alias("thresholds_hash"),
-        ts.alias("_x"),
+        (F.lit(0) if segment is None else F.col(segment)).alias("_segment"),
+        *[F.col(c) for c in arrival if c not in fixed],
+        "emitted_at",
+        "seq",
+        "boot_id",
+        F.expr("coalesce(health, 'unknown') AS health"),
+        F.expr("coalesce(reasons, array()) AS reasons"),
+        *[F.col(c) for c in [*LATEST_SIGNALS, "thresholds_hash"] if c not in absent],
+        *[F.lit(None).cast("string").alias(c) for c in absent],
+        trends.micros(_emitted_ts(reports)).alias("_x"),
     )
     # larger rank = earlier arrival; the row before in arrival order is the next one here
-    return seen.withColumn("_rank", F.row_number().over(within)).withColumn(
-        "_before", F.lead("health").over(within)
+    return seen.selectExpr(
+        "*",
+        f"row_number() OVER ({within}) AS _rank",
+        f"lead(health) OVER ({within}) AS _before",
     )
 
 
@@ -69,47 +62,39 @@ def _partials(rows: DataFrame) -> DataFrame:
     Each report yields one row for itself and one per reason. Report rows are
     grouped per node and segment, reason rows per node and reason.
     """
-    marks = F.concat(
-        F.array(F.struct(F.lit(True).alias("is_report"), F.lit(None).cast("string").alias("reason"))),
-        F.transform(
-            "reasons", lambda r: F.struct(F.lit(False).alias("is_report"), r.alias("reason"))
-        ),
-    )
-    latest = F.struct(
-        "boot_id", "seq", "emitted_at", "health", "reasons", *LATEST_SIGNALS, "thresholds_hash"
-    )
-    wide = rows.select("*", F.inline(marks)).select(
+    signals = ", ".join(LATEST_SIGNALS)
+    wide = rows.selectExpr(
+        "*",
+        "inline(concat(array(named_struct('is_report', true, 'reason', CAST(NULL AS STRING))),"
+        " transform(reasons, r -> named_struct('is_report', false, 'reason', r))))",
+    ).selectExpr(
         "node_id",
         "is_report",
         "reason",
-        F.when(F.col("is_report"), F.col("_segment")).alias("_segment"),
-        F.col("health"),
-        F.col("_before"),
-        F.col("_rank"),
-        F.col("_x"),
-        F.when(F.col("is_report"), latest).alias("latest"),
-    )
-    newest = F.struct(
-        F.coalesce("latest.emitted_at", F.lit("")).alias("emitted_at"),
-        F.coalesce("latest.seq", F.lit(0)).alias("seq"),
-        F.col("_rank"),
+        "CASE WHEN is_report THEN _segment END AS _segment",
+        "health",
+        "_before",
+        "_rank",
+        "_x",
+        "CASE WHEN is_report THEN struct(boot_id, seq, emitted_at, health, reasons,"
+        f" {signals}, thresholds_hash) END AS latest",
     )
-    signal = F.col("latest")
-    mem = percent(signal["mem_available_bytes"], signal["mem_total_bytes"])
-    disk = percent(signal["disk_free_bytes"], signal["disk_total_bytes"])
+    newest = "struct(coalesce(latest.emitted_at, ''), coalesce(latest.seq, 0), _rank)"
+    mem = "latest.mem_available_bytes / latest.mem_total_bytes * 1e2D"
+    disk = "latest.disk_free_bytes / latest.disk_total_bytes * 1e2D"
     return wide.groupBy("node_id", "_segment", "is_report", "reason").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("health") == "DEGRADED").alias("degraded"),
-        F.count_if(F.col("health") == "UNHEALTHY").alias("unhealthy"),
-        F.count_if(F.col("_before") != F.col("health")).alias("changes"),
-        F.max_by("health", "_rank").alias("first_health"),
-        F.min_by("health", "_rank").alias("last_health"),
-        F.max_by("latest", newest).alias("latest"),
-        F.max(signal["loadavg_1m"]).alias("max_load"),
-        F.min(mem).alias("min_mem"),
-        F.min(disk).alias("min_disk"),
+        F.expr("count(*) AS n"),
+        F.expr("count_if(health = 'DEGRADED') AS degraded"),
+        F.expr("count_if(health = 'UNHEALTHY') AS unhealthy"),
+        F.expr("count_if(_before <> health) AS changes"),
+        F.expr("max_by(health, _rank) AS first_health"),
+        F.expr("min_by(health, _rank) AS last_health"),
+        F.expr(f"max_by(latest, {newest}) AS latest"),
+        F.expr("max(CAST(latest.loadavg_1m AS DOUBLE)) AS max_load"),
+        F.expr(f"min(CASE WHEN latest.mem_total_bytes > 0 THEN {mem} END) AS min_mem"),
+        F.expr(f"min(CASE WHEN latest.disk_total_bytes > 0 THEN {disk} END) AS min_disk"),
         *[
-            trends.moments(F.col("_x"), signal[t.signal].cast("double"), f"m_{t.signal}")
+            F.expr(f"{trends.moments('_x', f'CAST(latest.{t.signal} AS DOUBLE)')} AS m_{t.signal}")
             for t in trends.TRENDS
         ],
     )
@@ -117,22 +102,16 @@ def _partials(rows: DataFrame) -> DataFrame:
 
 def _stitched(partials: DataFrame, top_k: int | None) -> DataFrame:
     """Order each node's segments, and cut its reasons to the ``top_k`` most frequent."""
-    order = Window.partitionBy("node_id", "is_report").orderBy(
-        F.col("_segment").asc(), F.col("n").desc(), F.col("reason").asc()
-    )
-    everything = Window.partitionBy("node_id", "is_report")
-    placed = partials.withColumn("_place", F.row_number().over(order)).withColumn(
-        "_before", F.lag("last_health").over(order)
-    )
-    placed = placed.select(
+    whole = "PARTITION BY node_id, is_report"
+    order = f"{whole} ORDER BY _segment, n DESC, reason"
+    placed = partials.selectExpr(
         "*",
-        *[
-            trends.centres(F.col(f"m_{t.signal}"), f"c_{t.signal}", everything)
-            for t in trends.TRENDS
-        ],
+        f"row_number() OVER ({order}) AS _place",
+        f"lag(last_health) OVER ({order}) AS _before",
+        *[f"{trends.centre(f'm_{t.signal}', whole)} AS c_{t.signal}" for t in trends.TRENDS],
     )
     if top_k is not None and top_k > 0:
-        placed = placed.filter(F.col("is_report") | (F.col("_place") <= top_k))
+        placed = placed.filter(f"is_report OR _place <= {int(top_k)}")
     return placed
 
 
@@ -151,59 +130,50 @@ def summarize_by_node(
     n, are taken as one piece. ``top_k`` of None or below 1 keeps all reasons.
     """
     parts = _stitched(_partials(_rows(reports, arrival, segment)), top_k)
-    is_report = F.col("is_report")
-
-    def when_report(value: Column) -> Column:
-        return F.when(is_report, value)
-
-    first_arrived = F.struct(
-        F.coalesce("latest.emitted_at", F.lit("")).alias("emitted_at"),
-        F.coalesce("latest.seq", F.lit(0)).alias("seq"),
-        (-F.col("_place")).alias("place"),
-    )
-    crossing = (F.col("_before") != F.col("first_health")).cast("int")
-    reason = F.struct(F.col("_place"), F.col("reason"), F.col("n").alias("count"))
+    newest = "struct(coalesce(latest.emitted_at, ''), coalesce(latest.seq, 0), -_place)"
     totals = parts.groupBy("node_id").agg(
-        F.max_by("latest", when_report(first_arrived)).alias("latest"),
-        F.sum(when_report(F.col("n"))).alias("reports_seen_tail"),
-        F.sum(when_report(F.col("degraded"))).alias("degraded_count_tail"),
-        F.sum(when_report(F.col("unhealthy"))).alias("unhealthy_count_tail"),
+        F.expr(f"max_by(latest, {newest}) FILTER (WHERE is_report) AS latest"),
+        F.expr("sum(n) FILTER (WHERE is_report) AS reports_seen_tail"),
+        F.expr("sum(degraded) FILTER (WHERE is_report) AS degraded_count_tail"),
+        F.expr("sum(unhealthy) FILTER (WHERE is_report) AS unhealthy_count_tail"),
         # at most top_k entries, or one per distinct reason
-        F.array_sort(F.collect_list(F.when(~is_report, reason))).alias("top_reasons"),
-        F.max(when_report(F.col("max_load"))).alias("max_load"),
-        F.min(when_report(F.col("min_mem"))).alias("min_mem"),
-        F.min(when_report(F.col("min_disk"))).alias("min_disk"),
-        F.sum(when_report(F.col("changes") + F.coalesce(crossing, F.lit(0)))).alias("changes"),
+        F.expr(
+            "array_sort(collect_list(struct(_place, reason, n AS count))"
+            " FILTER (WHERE NOT is_report)) AS top_reasons"
+        ),
+        F.expr("max(max_load) AS max_load"),
+        F.expr("min(min_mem) AS min_mem"),
+        F.expr("min(min_disk) AS min_disk"),
+        F.expr(
+            "sum(changes + CASE WHEN _before <> first_health THEN 1 ELSE 0 END)"
+            " FILTER (WHERE is_report) AS changes"
+        ),
+        # reason rows carry no pairs, so they add nothing to the moments
         *[
-            trends.merged_slope(
-                when_report(F.col(f"m_{t.signal}")), F.col(f"c_{t.signal}")
-            ).alias(f"s_{t.signal}")
+            F.expr(
+                f"{trends.merged_slope(f'm_{t.signal}', f'c_{t.signal}')} AS s_{t.signal}"
+            )
             for t in trends.TRENDS
         ],
     )
-    latest = F.col("latest")
     return totals.select(
         "node_id",
-        _or_unknown(latest["boot_id"]).alias("current_boot_id"),
-        latest["seq"].alias("latest_seq"),
-        _or_unknown(latest["emitted_at"]).alias("latest_emitted_at"),
-        latest["health"].alias("current_health"),
-        F.array_sort(latest["reasons"]).alias("current_reasons"),
+        F.expr("coalesce(nullif(latest.boot_id, ''), 'unknown') AS current_boot_id"),
+        F.expr("latest.seq AS latest_seq"),
+        F.expr("coalesce(nullif(latest.emitted_at, ''), 'unknown') AS latest_emitted_at"),
+        F.expr("latest.health AS current_health"),
+        F.expr("array_sort(latest.reasons) AS current_reasons"),
         "reports_seen_tail",
         "degraded_count_tail",
         "unhealthy_count_tail",
-        F.transform("top_reasons", lambda r: F.struct(r["reason"], r["count"])).alias(
-            "top_reasons_tail"
-        ),
-        *[latest[c].alias(c) for c in LATEST_SIGNALS],
+        F.expr("transform(top_reasons, r -> struct(r.reason, r.count)) AS top_reasons_tail"),
+        *[F.expr(f"latest.{c} AS {c}") for c in LATEST_SIGNALS],
         round_exact(F.col("max_load"), 2).alias("max_cpu1_tail"),
         round_exact(F.col("min_mem"), 2).alias("min_mem_available_pct_tail"),
         round_exact(F.col("min_disk"), 2).alias("min_disk_free_pct_tail"),
         F.col("changes").alias("health_transitions_tail"),
-        trends.trend_map({t.signal: F.col(f"s_{t.signal}") for t in trends.TRENDS}).alias(
-            "signal_trends"
-        ),
-        latest["thresholds_hash"].alias("thresholds_hash"),
+        trends.trend_map("s_").alias("signal_trends"),
+        F.expr("latest.thresholds_hash AS thresholds_hash"),
     )
 
 

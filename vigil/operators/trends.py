@@ -1,10 +1,14 @@
-"""Least-squares trends from mergeable moments."""
+"""Least-squares trends from mergeable moments.
+
+Expressions are SQL text: there is one set per signal, and one parsed text is
+much quicker to build than a tree of column objects.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, WindowSpec, functions as F
+from pyspark.sql import Column, functions as F
 
 from vigil.functions.numbers import round_exact
 from vigil.functions.text import GIB, trend_direction, trend_label
@@ -36,49 +40,36 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts).cast("double")
 
 
-def moments(x: Column, y: Column, name: str) -> Column:
-    """Count, means and centred sums of the pairs in which both are present."""
-    return F.struct(
-        F.regr_count(y, x).alias("n"),
-        F.regr_avgx(y, x).alias("mx"),
-        F.regr_avgy(y, x).alias("my"),
-        F.regr_sxx(y, x).alias("sxx"),
-        F.regr_sxy(y, x).alias("sxy"),
-    ).alias(name)
-
-
-def _weighted_mean(part: Column, mean: str, over: WindowSpec) -> Column:
-    total = F.sum(part["n"]).over(over)
-    weighted = F.sum(F.coalesce(part[mean] * part["n"], F.lit(0.0))).over(over)
-    return F.when(total > 0, weighted / total)
+def moments(x: str, y: str) -> str:
+    """Aggregate: count, means and centred sums of the pairs in which both are present."""
+    return (
+        f"struct(regr_count({y}, {x}) AS n, regr_avgx({y}, {x}) AS mx, regr_avgy({y}, {x}) AS my,"
+        f" regr_sxx({y}, {x}) AS sxx, regr_sxy({y}, {x}) AS sxy)"
+    )
 
 
-def centres(part: Column, name: str, over: WindowSpec) -> Column:
-    """Mean x and y over all parts of a window."""
-    return F.struct(
-        _weighted_mean(part, "mx", over).alias("x"), _weighted_mean(part, "my", over).alias("y")
-    ).alias(name)
+def centre(part: str, window: str) -> str:
+    """Mean x and y over all parts of a window; null without any pair."""
+    total = f"nullif(sum({part}.n) OVER ({window}), 0)"
+    return (
+        f"struct(sum({part}.mx * {part}.n) OVER ({window}) / {total} AS x,"
+        f" sum({part}.my * {part}.n) OVER ({window}) / {total} AS y)"
+    )
 
 
-def merged_slope(part: Column, centre: Column) -> Column:
+def merged_slope(part: str, centre: str) -> str:
     """Aggregate: slope over all parts; null for under two points or a single x."""
-    dx = F.coalesce(part["mx"] - centre["x"], F.lit(0.0))
-    dy = F.coalesce(part["my"] - centre["y"], F.lit(0.0))
-    sxx = F.sum(F.coalesce(part["sxx"], F.lit(0.0)) + part["n"] * dx * dx)
-    sxy = F.sum(F.coalesce(part["sxy"], F.lit(0.0)) + part["n"] * dx * dy)
-    return F.when((F.sum(part["n"]) >= 2) & (sxx > 0), sxy / sxx)
-
+    dx, dy = f"({part}.mx - {centre}.x)", f"({part}.my - {centre}.y)"
+    sxx = f"sum({part}.sxx + {part}.n * {dx} * {dx})"
+    sxy = f"sum({part}.sxy + {part}.n * {dx} * {dy})"
+    return f"CASE WHEN sum({part}.n) >= 2 AND {sxx} > 0 THEN {sxy} / {sxx} END"
 
-def slope_per_hour(slope: Column, trend: Trend) -> Column:
-    return slope * F.lit(PER_HOUR) / F.lit(trend.divisor)
 
-
-def trend_struct(slope: Column, trend: Trend) -> Column:
+def trend_struct(per_hour: Column, trend: Trend) -> Column:
     """Direction, rounded slope and label; null when there is no slope."""
-    per_hour = slope_per_hour(slope, trend)
     direction = trend_direction(per_hour, trend.stable_below)
     return F.when(
-        slope.isNotNull(),
+        per_hour.isNotNull(),
         F.struct(
             direction.alias("direction"),
             round_exact(per_hour, 3).alias("slope_per_hr"),
@@ -87,7 +78,13 @@ def trend_struct(slope: Column, trend: Trend) -> Column:
     )
 
 
-def trend_map(slopes: dict[str, Column]) -> Column:
-    """Map from signal to trend, holding only the signals that have one."""
-    entries = [x for t in TRENDS for x in (F.lit(t.signal), trend_struct(slopes[t.signal], t))]
+def trend_map(prefix: str) -> Column:
+    """Map from signal to trend of the slopes in ``<prefix><signal>`` columns.
+
+    Holds only the signals that have a slope.
+    """
+    entries = []
+    for trend in TRENDS:
+        per_hour = F.expr(f"{prefix}{trend.signal} * {PER_HOUR}D / {trend.divisor}D")
+        entries += [F.lit(trend.signal), trend_struct(per_hour, trend)]
     return F.map_filter(F.create_map(*entries), lambda _, trend: trend.isNotNull())

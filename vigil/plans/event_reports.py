@@ -18,45 +18,43 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def signals_of(events: DataFrame) -> DataFrame:
     """Signal readings of every event row, before any verdict. A pure projection."""
-    ts = F.col("ts").cast("timestamp")
-    k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
-    node = F.lpad((F.col("user_id") % 20).cast("string"), 2, "0")
-    boot = F.floor((F.dayofmonth(ts) - 1) / F.lit(10)).cast("string")
-    cpu_failed = (F.col("event_type") == "signup") & (F.col("k") % 10 == 0)
-    beat_failed = (F.col("event_type") == "error") & (F.col("k") % 4 == 0)
-    base = events.select(
+    base = events.selectExpr(
         "event_id",
         "user_id",
         "event_type",
         "value",
-        k.alias("k"),
-        ts.alias("emitted_ts"),
-        F.concat(F.lit("node-"), node).alias("node_id"),
-        F.concat(F.lit("boot-"), boot).alias("boot_id"),
-        F.concat(
-            F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00")
-        ).alias("emitted_at"),
-        (F.col("event_id") + 1).alias("seq"),
-        F.floor(F.unix_micros(ts) / F.lit(3_600_000_000)).alias(SEGMENT),
+        "CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k",
+        "CAST(ts AS TIMESTAMP) AS emitted_ts",
     )
-    return base.select(
+    marked = base.selectExpr(
         "*",
-        F.when(~beat_failed, True).alias("heartbeat_ok"),
-        F.when(~cpu_failed, F.col("value") / 10).alias("loadavg_1m"),
-        F.when(~cpu_failed, F.col("value") / 20).alias("loadavg_5m"),
-        F.when(~cpu_failed, F.col("value") / 40).alias("loadavg_15m"),
-        F.lit(8).alias("cpu_count_logical"),
-        F.lit(17_179_869_100).cast("bigint").alias("mem_total_bytes"),
-        ((F.col("k") + 1) * F.lit(171_798_691).cast("bigint")).alias("mem_available_bytes"),
-        F.lit(500_000_000_000).cast("bigint").alias("disk_total_bytes"),
-        (((F.col("event_id") * 37) % 100 + 1) * F.lit(5_000_000_000).cast("bigint")).alias(
-            "disk_free_bytes"
-        ),
-        F.array(
-            F.struct(F.lit("heartbeat").alias("name"), (~beat_failed).alias("ok")),
-            F.struct(F.lit("cpu").alias("name"), (~cpu_failed).alias("ok")),
-            F.struct(F.lit("network").alias("name"), (F.col("k") % 3 != 0).alias("ok")),
-        ).alias("outcomes"),
+        "NOT (event_type = 'signup' AND k % 10 = 0) AS cpu_ok",
+        "NOT (event_type = 'error' AND k % 4 = 0) AS beat_ok",
+    )
+    return marked.selectExpr(
+        "event_id",
+        "user_id",
+        "event_type",
+        "value",
+        "k",
+        "emitted_ts",
+        "concat('node-', lpad(CAST(user_id % 20 AS STRING), 2, '0')) AS node_id",
+        "concat('boot-', (dayofmonth(emitted_ts) - 1) div 10) AS boot_id",
+        "concat(date_format(emitted_ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\"), '+00:00') AS emitted_at",
+        "event_id + 1 AS seq",
+        f"unix_micros(emitted_ts) div 3600000000 AS {SEGMENT}",
+        "CASE WHEN beat_ok THEN true END AS heartbeat_ok",
+        "CASE WHEN cpu_ok THEN value / 10 END AS loadavg_1m",
+        "CASE WHEN cpu_ok THEN value / 20 END AS loadavg_5m",
+        "CASE WHEN cpu_ok THEN value / 40 END AS loadavg_15m",
+        "8 AS cpu_count_logical",
+        "17179869100 AS mem_total_bytes",
+        "(k + 1) * 171798691L AS mem_available_bytes",
+        "500000000000 AS disk_total_bytes",
+        "((event_id * 37) % 100 + 1) * 5000000000 AS disk_free_bytes",
+        "array(named_struct('name', 'heartbeat', 'ok', beat_ok),"
+        " named_struct('name', 'cpu', 'ok', cpu_ok),"
+        " named_struct('name', 'network', 'ok', k % 3 <> 0)) AS outcomes",
     )
 
 

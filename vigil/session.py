@@ -15,13 +15,32 @@ RUNTIME_SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     # let tail windows of up to this size cut rows before the shuffle
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
-    # no call-site bookkeeping for every column expression built in Python
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # merge session windows inside each task before shuffling
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 
+# Settings only a new session can take.
+BUILD_SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # no call-site bookkeeping for every column expression built in Python
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
+
+def build_session(app: str, master: str | None = None, **settings: str) -> SparkSession:
+    """A session with all settings; ``settings`` use ``__`` for dots in names."""
+    builder = SparkSession.builder.appName(app)
+    if master is not None:
+        builder = builder.master(master)
+    for key, value in {**BUILD_SETTINGS, **RUNTIME_SETTINGS}.items():
+        builder = builder.config(key, value)
+    for key, value in settings.items():
+        builder = builder.config(key.replace("__", "."), value)
+    return builder.getOrCreate()
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to ``spark`` and return it."""
     for key, value in RUNTIME_SETTINGS.items():
