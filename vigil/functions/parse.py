@@ -7,7 +7,7 @@ failing the row, and a line that is no JSON object becomes a null variant.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vigil.schema import SIGNALS
 
@@ -33,24 +33,42 @@ def is_blank(line: Column) -> Column:
     return F.length(strip(line)) == 0
 
 
-def parse_json(text: Column) -> Column:
-    """VARIANT of a text holding exactly one JSON value, else null.
+def once(table: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns whose expressions are worked out exactly once per row.
+
+    A plain column is copied into every filter that names it, which for parsed
+    JSON repeats the parsing. A generated column cannot be copied.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return table.select("*", F.inline(F.array(row)))
+
+
+def with_json(table: DataFrame, text: Column, name: str = "obj") -> DataFrame:
+    """Add the VARIANT of a text holding exactly one JSON value, else null.
 
     The parser ignores what follows the first value, so the text is parsed as
     the only element of an array. A text that itself closes that array is told
     apart by parsing it as a member of an object too, which it cannot close.
     """
-    boxed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    single = F.try_variant_get(boxed, "$[1]", "variant").isNull()
-    member = F.try_parse_json(F.concat(F.lit('{"m":'), text, F.lit("}")))
-    closes = text.rlike(r"\]") & member.isNull()
-    return F.when(single & ~closes, F.try_variant_get(boxed, "$[0]", "variant"))
+    parsed = once(
+        table.withColumn("_text", text),
+        _boxed=F.expr("try_parse_json('[' || _text || ']')"),
+        _member=F.expr(
+            "CASE WHEN contains(_text, ']') THEN try_parse_json('{\"m\":' || _text || '}') END"
+        ),
+    )
+    alone = F.expr(
+        "CASE WHEN try_variant_get(_boxed, '$[1]', 'variant') IS NULL"
+        " AND (NOT contains(_text, ']') OR _member IS NOT NULL)"
+        " THEN try_variant_get(_boxed, '$[0]', 'variant') END"
+    )
+    return once(parsed, **{name: alone}).drop("_text", "_boxed", "_member")
 
 
-def parse_line(line: Column) -> Column:
-    """VARIANT of a line holding one JSON object; null if blank, broken or no object."""
+def with_object(table: DataFrame, line: str = "line", name: str = "obj") -> DataFrame:
+    """Add the VARIANT of a line holding one JSON object; null if blank, broken or no object."""
     text = strip(F.make_valid_utf8(line))
-    return F.when(F.startswith(text, F.lit("{")), parse_json(text))
+    return with_json(table, F.when(F.startswith(text, F.lit("{")), text), name)
 
 
 def field(obj: Column, path: str, kind: str) -> Column:

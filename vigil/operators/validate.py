@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vigil.functions.parse import WHITESPACE, field, is_blank, is_timestamp, kind_of, parse_json
+from vigil.functions.parse import (
+    WHITESPACE,
+    field,
+    is_blank,
+    is_timestamp,
+    kind_of,
+    once,
+    with_json,
+)
 from vigil.operators.ordered import numbered
 from vigil.operators.tail import tail_rows
 from vigil.schema import EVENT_MODES, EVENT_TYPES, HEALTH_VALUES, REQUIRED_KEYS, SCHEMA_VERSION
@@ -128,8 +136,8 @@ def report_errors(line: Column, obj: Column) -> Column:
 def validate_lines(lines: DataFrame) -> DataFrame:
     """Add ``errors`` and ``is_valid`` to non-blank report lines."""
     kept = lines.filter(~is_blank(F.col("line")))
-    parsed = kept.withColumn("_obj", parse_json(F.col("line")))
-    checked = parsed.withColumn("errors", report_errors(F.col("line"), F.col("_obj")))
+    parsed = with_json(kept, F.col("line"), "_obj")
+    checked = once(parsed, errors=report_errors(F.col("line"), F.col("_obj")))
     return checked.drop("_obj").withColumn("is_valid", F.size("errors") == 0)
 
 
@@ -244,9 +252,6 @@ def event_errors(obj: Column) -> Column:
 def validate_events(lines: DataFrame) -> DataFrame:
     """Add ``errors`` and ``is_valid`` to non-blank event lines."""
     kept = lines.filter(~is_blank(F.col("line")))
-    parsed = kept.withColumn("_obj", parse_json(F.col("line")))
-    return (
-        parsed.withColumn("errors", event_errors(F.col("_obj")))
-        .drop("_obj")
-        .withColumn("is_valid", F.size("errors") == 0)
-    )
+    parsed = with_json(kept, F.col("line"), "_obj")
+    checked = once(parsed, errors=event_errors(F.col("_obj")))
+    return checked.drop("_obj").withColumn("is_valid", F.size("errors") == 0)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from vigil.functions.parse import is_blank, parse_line, report_columns
+from vigil.functions.parse import is_blank, report_columns, with_object
 from vigil.operators.tail import tail_rows
 
 # Physical position of a line: file, then block start, then order inside the block.
@@ -75,9 +75,8 @@ def tail_lines(lines: DataFrame, n: int) -> DataFrame:
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Add the parsed object and say whether a line is blank or invalid."""
-    parsed = lines.withColumn("obj", parse_line(F.col("line")))
     blank = is_blank(F.make_valid_utf8("line"))
-    return parsed.withColumn("is_invalid", F.col("obj").isNull() & ~blank)
+    return with_object(lines).withColumn("is_invalid", F.col("obj").isNull() & ~blank)
 
 
 def reports_of(parsed: DataFrame) -> DataFrame:

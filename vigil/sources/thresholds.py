@@ -101,14 +101,15 @@ def thresholds_table(resolved: DataFrame) -> DataFrame:
         ).alias("profile_name"),
         entries.alias("entries"),
     )
-    sections = []
-    for name in SECTIONS:
+    def section_json(name: str):
         pairs = F.transform(
-            F.filter("entries", lambda e, s=name: e["section"] == s),
+            F.filter("entries", lambda e: e["section"] == name),
             lambda e: F.concat(_quoted(e["key"]), F.lit(":"), e["value"]),
         )
-        sections.append(F.concat(F.lit(f'"{name}":{{'), F.array_join(pairs, ","), F.lit("}")))
-    document = F.concat(F.lit("{"), F.concat_ws(",", *sections), F.lit("}"))
+        return F.concat(F.lit(f'"{name}":{{'), F.array_join(pairs, ","), F.lit("}"))
+
+    sections = F.concat_ws(",", *[section_json(name) for name in SECTIONS])
+    document = F.concat(F.lit("{"), sections, F.lit("}"))
     digest = F.substring(F.sha2(document, 256), 1, 16)
     return wide.withColumn("thresholds_hash", digest).drop("entries")
 
