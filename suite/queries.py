@@ -15,7 +15,7 @@ from vigil.functions.health import (
     mem_reason,
 )
 from vigil.functions.numbers import percent, round_exact
-from vigil.functions.parse import has_status_fields, once, parse_timestamp
+from vigil.functions.parse import has_status_fields, once, parse_timestamp, with_sections
 from vigil.functions.reports import assemble, builder_error, report_json
 from vigil.operators import (
     alerts,
@@ -461,8 +461,8 @@ def status_json(spark, sf):
 @query
 def valid_report_fields(spark, sf):
     parsed = spool.parse_lines(report_lines(spark, sf))
-    return parsed.select(
-        "event_id", F.coalesce(has_status_fields(F.col("obj")), F.lit(False)).alias("complete")
+    return with_sections(parsed).select(
+        "event_id", F.coalesce(has_status_fields(), F.lit(False)).alias("complete")
     )
 
 

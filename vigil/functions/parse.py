@@ -18,6 +18,15 @@ WHITESPACE = (
     "    　"
 )
 
+# The fields read from each section of a report.
+SECTIONS = {
+    "assessment": ["health", "reasons"],
+    "identity": ["node_id", "boot_id"],
+    "meta": ["agent_version", "schema_version", "threshold_profile", "thresholds_hash"],
+    "signals": list(SIGNALS),
+    "timing": ["emitted_at", "seq"],
+}
+
 # ISO 8601 calendar dates and date-times in extended form.
 _ISO = (
     r"^(?!0000)\d{4}-\d{2}-\d{2}"
@@ -26,11 +35,12 @@ _ISO = (
 
 
 def strip(line: Column) -> Column:
-    return F.btrim(line, F.lit(WHITESPACE))
+    plain = F.startswith(line, F.lit("{")) & F.endswith(line, F.lit("}"))
+    return F.when(plain, line).otherwise(F.btrim(line, F.lit(WHITESPACE)))
 
 
 def is_blank(line: Column) -> Column:
-    return F.length(strip(line)) == 0
+    return ~F.startswith(line, F.lit("{")) & (F.btrim(line, F.lit(WHITESPACE)) == "")
 
 
 def once(table: DataFrame, **columns: Column) -> DataFrame:
@@ -48,21 +58,25 @@ def with_json(table: DataFrame, text: Column, name: str = "obj") -> DataFrame:
 
     The parser ignores what follows the first value, so the text is parsed as
     the only element of an array. A text that itself closes that array is told
-    apart by parsing it as a member of an object too, which it cannot close.
+    apart by parsing it as a member of an object too, which it cannot close;
+    an object can only do so with a bracket right after its closing brace.
     """
+    may_close = (
+        "(NOT startswith(_text, '{') OR contains(_text, '}]') OR _text RLIKE '[}][ \\\\t\\\\r]+\\\\]')"
+    )
     parsed = once(
         table.withColumn("_text", text),
         _boxed=F.expr("try_parse_json('[' || _text || ']')"),
-        _member=F.expr(
-            "CASE WHEN contains(_text, ']') THEN try_parse_json('{\"m\":' || _text || '}') END"
+        _closes=F.expr(
+            f"CASE WHEN {may_close} THEN try_parse_json('{{\"m\":' || _text || '}}') IS NULL"
+            " ELSE false END"
         ),
     )
     alone = F.expr(
-        "CASE WHEN try_variant_get(_boxed, '$[1]', 'variant') IS NULL"
-        " AND (NOT contains(_text, ']') OR _member IS NOT NULL)"
+        "CASE WHEN try_variant_get(_boxed, '$[1]', 'variant') IS NULL AND NOT _closes"
         " THEN try_variant_get(_boxed, '$[0]', 'variant') END"
     )
-    return once(parsed, **{name: alone}).drop("_text", "_boxed", "_member")
+    return once(parsed, **{name: alone}).drop("_text", "_boxed", "_closes")
 
 
 def with_object(table: DataFrame, line: str = "line", name: str = "obj") -> DataFrame:
@@ -71,53 +85,63 @@ def with_object(table: DataFrame, line: str = "line", name: str = "obj") -> Data
     return with_json(table, F.when(F.startswith(text, F.lit("{")), text), name)
 
 
-def field(obj: Column, path: str, kind: str) -> Column:
-    return F.try_variant_get(obj, path, kind)
+def with_sections(table: DataFrame, obj: str = "obj", only: tuple[str, ...] = ()) -> DataFrame:
+    """Add the report's sections as structs of untyped fields (``_assessment`` …).
+
+    A section is looked up once, however many of its fields are read. One that
+    is absent or no object is null.
+    """
+    found = {}
+    for section in only or tuple(SECTIONS):
+        fields = ", ".join(f"{name}: variant" for name in SECTIONS[section])
+        kind = f"struct<{fields}>"
+        found[f"_{section}"] = F.expr(f"try_variant_get({obj}, '$.{section}', '{kind}')")
+    return once(table, **found)
 
 
-def kind_of(obj: Column, path: str) -> Column:
-    """JSON type name at ``path`` (BIGINT, STRING, OBJECT<…> …); null when absent."""
-    return F.schema_of_variant(F.try_variant_get(obj, path, "variant"))
+def kind_of(value: str) -> str:
+    """SQL: JSON type name of a field (BIGINT, STRING, VOID …); null when absent."""
+    return f"schema_of_variant({value})"
 
 
-def _is_numeric(kind: Column) -> Column:
-    return kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+def get(value: str, kind: str = "string") -> str:
+    """SQL: a field in the given type; null when it cannot be read so."""
+    return f"try_variant_get({value}, '$', '{kind}')"
 
 
-def number(obj: Column, path: str, kind: str) -> Column:
-    """Value at ``path`` if it is a JSON number; strings and booleans give null."""
-    return F.when(_is_numeric(kind_of(obj, path)), field(obj, path, kind))
+def _is_numeric(value: str) -> str:
+    kind = kind_of(value)
+    return f"({kind} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR startswith({kind}, 'DECIMAL'))"
 
 
-def boolean(obj: Column, path: str) -> Column:
-    return F.when(kind_of(obj, path) == "BOOLEAN", field(obj, path, "boolean"))
+def number(value: str, kind: str) -> str:
+    """SQL: a field that is a JSON number; strings and booleans give null."""
+    return f"CASE WHEN {_is_numeric(value)} THEN {get(value, kind)} END"
 
 
-def coerce_int(obj: Column, path: str) -> Column:
-    """Integer reading of any scalar: 3.9 -> 3, "5" -> 5, true -> 1, else null."""
-    return field(obj, path, "bigint")
+def boolean(value: str) -> str:
+    return f"CASE WHEN {kind_of(value)} = 'BOOLEAN' THEN {get(value, 'boolean')} END"
 
 
-def node_id_or_unknown(obj: Column) -> Column:
-    """Node id as text; absent, null, empty, zero and false give ``unknown``."""
-    path = "$.identity.node_id"
-    kind = kind_of(obj, path)
-    text = field(obj, path, "string")
-    falsy = (
-        (text == "")
-        | (_is_numeric(kind) & (field(obj, path, "double") == 0))
-        | ((kind == "BOOLEAN") & (text == "false"))
-    )
-    return F.when(falsy, None).otherwise(text)
+def coerce_int(value: str) -> str:
+    """SQL: integer reading of any scalar: 3.9 -> 3, "5" -> 5, true -> 1, else null."""
+    return get(value, "bigint")
 
 
-def reasons(obj: Column) -> Column:
-    """Reason tags as text; anything but an array gives the empty array."""
-    return F.coalesce(
-        field(obj, "$.assessment.reasons", "array<string>"), F.array().cast("array<string>")
+def truthy(value: str) -> str:
+    """SQL: a field as text; null if absent, null, empty, zero or false."""
+    text = get(value)
+    return (
+        f"CASE WHEN {text} = '' THEN NULL WHEN {kind_of(value)} = 'STRING' THEN {text}"
+        f" WHEN {text} = 'false' OR try_cast({text} AS DOUBLE) = 0 THEN NULL ELSE {text} END"
     )
 
 
+def reasons(value: str) -> str:
+    """SQL: reason tags as text; anything but an array gives the empty array."""
+    return f"coalesce({get(value, 'array<string>')}, CAST(array() AS ARRAY<STRING>))"
+
+
 def is_timestamp(text: Column) -> Column:
     return F.coalesce(parse_timestamp(text).isNotNull(), F.lit(False))
 
@@ -128,44 +152,29 @@ def parse_timestamp(text: Column) -> Column:
     return F.when(text.rlike(_ISO), plain.try_cast("timestamp"))
 
 
-def report_columns(obj: Column) -> list[Column]:
-    """Flat typed columns of one parsed report."""
-    cols = [
-        F.coalesce(node_id_or_unknown(obj), F.lit("unknown")).alias("node_id"),
-        node_id_or_unknown(obj).alias("node_id_raw"),
-        field(obj, "$.identity.boot_id", "string").alias("boot_id"),
-        field(obj, "$.assessment.health", "string").alias("health"),
-        reasons(obj).alias("reasons"),
-        field(obj, "$.timing.emitted_at", "string").alias("emitted_at"),
-        coerce_int(obj, "$.timing.seq").alias("seq"),
-    ]
+def report_columns() -> list[Column]:
+    """Flat typed columns of one report, from its sections."""
+    named = {
+        "node_id_raw": truthy("_identity.node_id"),
+        "boot_id": get("_identity.boot_id"),
+        "health": get("_assessment.health"),
+        "reasons": reasons("_assessment.reasons"),
+        "emitted_at": get("_timing.emitted_at"),
+        "seq": coerce_int("_timing.seq"),
+    }
     for name, kind in SIGNALS.items():
-        path = f"$.signals.{name}"
-        value = boolean(obj, path) if kind == "boolean" else number(obj, path, kind)
-        cols.append(value.alias(name))
-    for name in ("agent_version", "schema_version", "threshold_profile", "thresholds_hash"):
-        cols.append(field(obj, f"$.meta.{name}", "string").alias(name))
-    return cols
+        value = f"_signals.{name}"
+        named[name] = boolean(value) if kind == "boolean" else number(value, kind)
+    for name in SECTIONS["meta"]:
+        named[name] = get(f"_meta.{name}")
+    return [F.expr(f"{text} AS {name}") for name, text in named.items()]
 
 
-def has_status_fields(obj: Column) -> Column:
+def has_status_fields() -> Column:
     """True when node id, health and emission time are truthy and seq is present."""
-    def truthy(path: str) -> Column:
-        kind = kind_of(obj, path)
-        text = field(obj, path, "string")
-        empty = (
-            (kind == "VOID")
-            | ((kind == "STRING") & (text == ""))
-            | (_is_numeric(kind) & (field(obj, path, "double") == 0))
-            | ((kind == "BOOLEAN") & (text == "false"))
-        )
-        return kind.isNotNull() & ~F.coalesce(empty, F.lit(False))
-
-    seq_kind = kind_of(obj, "$.timing.seq")
-    return (
-        truthy("$.identity.node_id")
-        & truthy("$.assessment.health")
-        & truthy("$.timing.emitted_at")
-        & seq_kind.isNotNull()
-        & (seq_kind != "VOID")
-    )
+    seq = kind_of("_timing.seq")
+    needed = [
+        f"({truthy(value)}) IS NOT NULL"
+        for value in ("_identity.node_id", "_assessment.health", "_timing.emitted_at")
+    ]
+    return F.expr(f"{' AND '.join(needed)} AND {seq} IS NOT NULL AND {seq} <> 'VOID'")

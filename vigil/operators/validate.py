@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vigil.functions.parse import (
     WHITESPACE,
-    field,
+    get,
     is_blank,
     is_timestamp,
     kind_of,
     once,
     with_json,
+    with_sections,
 )
 from vigil.operators.ordered import numbered
 from vigil.operators.tail import tail_rows
@@ -19,126 +20,110 @@ from vigil.schema import EVENT_MODES, EVENT_TYPES, HEALTH_VALUES, REQUIRED_KEYS,
 from vigil.sources.spool import LINE_ORDER, _block_group
 
 
-def _list_text(items: Column) -> Column:
-    return F.concat(F.lit("['"), F.array_join(items, "', '"), F.lit("']"))
-
-
-def shown(obj: Column, path: str) -> Column:
-    """A JSON value as messages show it: quoted text, None, True, False or plain."""
-    kind = kind_of(obj, path)
-    text = field(obj, path, "string")
-    escaped = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    double = F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"'))
-    quoted = F.when(double, F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(
-        F.concat(F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("\\'")), F.lit("'"))
+def shown(value: str) -> str:
+    """SQL: a JSON field as messages show it: quoted text, None, True, False or plain."""
+    kind, text = kind_of(value), get(value)
+    escaped = f"replace({text}, '\\\\', '\\\\\\\\')"
+    single = f"concat('\\'', replace({escaped}, '\\'', '\\\\\\''), '\\'')"
+    double = f"concat('\"', {escaped}, '\"')"
+    quoted = (
+        f"CASE WHEN contains({text}, '\\'') AND NOT contains({text}, '\"')"
+        f" THEN {double} ELSE {single} END"
     )
     return (
-        F.when(kind.isNull() | (kind == "VOID"), "None")
-        .when(kind == "STRING", quoted)
-        .when(kind == "BOOLEAN", F.initcap(text))
-        .otherwise(F.to_json(F.try_variant_get(obj, path, "variant")))
+        f"CASE WHEN coalesce({kind}, 'VOID') = 'VOID' THEN 'None' WHEN {kind} = 'STRING' THEN {quoted}"
+        f" WHEN {kind} = 'BOOLEAN' THEN initcap({text}) ELSE to_json({value}) END"
     )
 
 
-def _root_type(obj: Column) -> Column:
-    kind = F.schema_of_variant(obj)
+def _when_bad(check: str, message: str) -> str:
+    """SQL: the message where a check fails or cannot be decided."""
+    return f"CASE WHEN NOT coalesce({check}, false) THEN {message} END"
+
+
+def _is_string(value: str, check: str) -> str:
+    return f"{kind_of(value)} = 'STRING' AND {check}"
+
+
+def _root_type(obj: str) -> str:
+    kind = kind_of(obj)
     return (
-        F.when(kind == "VOID", "NoneType")
-        .when(kind == "STRING", "str")
-        .when(kind == "BOOLEAN", "bool")
-        .when(kind == "BIGINT", "int")
-        .when(kind.startswith("ARRAY"), "list")
-        .otherwise("float")
+        f"CASE WHEN {kind} = 'VOID' THEN 'NoneType' WHEN {kind} = 'STRING' THEN 'str'"
+        f" WHEN {kind} = 'BOOLEAN' THEN 'bool' WHEN {kind} = 'BIGINT' THEN 'int'"
+        f" WHEN startswith({kind}, 'ARRAY') THEN 'list' ELSE 'float' END"
     )
 
 
-def _is_object(obj: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(obj).startswith("OBJECT"), F.lit(False))
+def _is_object(line: str) -> str:
+    """SQL: whether a line known to be JSON holds an object."""
+    return f"startswith(btrim({line}, ' \\t\\r\\n'), '{{')"
 
 
-def _is_false(check: Column) -> Column:
-    """True where a check fails or cannot be decided."""
-    return ~F.coalesce(check, F.lit(False))
+CHECKED_SECTIONS = ("assessment", "identity", "meta", "timing")
 
 
-def report_errors(line: Column, obj: Column) -> Column:
+def report_errors(line: str = "line", obj: str = "_obj") -> Column:
     """All contract violations of one line, in order; empty when it is valid.
 
-    ``obj`` is the line's JSON value of any type, or null if it is no JSON.
+    ``obj`` is the line's JSON value of any type, or null if it is no JSON; its
+    sections must have been added.
     """
-    keys = F.coalesce(F.json_object_keys(line), F.array().cast("array<string>"))
-    required = F.array(*[F.lit(k) for k in REQUIRED_KEYS])
-    missing = F.array_sort(F.array_except(required, keys))
-    health = field(obj, "$.assessment.health", "string")
-    health_kind = kind_of(obj, "$.assessment.health")
-    version = field(obj, "$.meta.schema_version", "string")
-    emitted = field(obj, "$.timing.emitted_at", "string")
-    seq_path = "$.timing.seq"
-    node = field(obj, "$.identity.node_id", "string")
-
-    def when_bad(check: Column, message: Column | str) -> Column:
-        return F.when(_is_false(check), message)
-
-    nested = F.array_compact(
-        F.array(
-            when_bad(
-                (health_kind == "STRING") & health.isin(HEALTH_VALUES),
-                F.concat(
-                    F.lit("assessment.health must be one of ['DEGRADED', 'OK', 'UNHEALTHY'], got "),
-                    shown(obj, "$.assessment.health"),
-                ),
-            ),
-            when_bad(
-                kind_of(obj, "$.assessment.reasons").startswith("ARRAY"),
-                "assessment.reasons must be an array",
-            ),
-            when_bad(
-                (kind_of(obj, "$.meta.schema_version") == "STRING")
-                & (version == SCHEMA_VERSION),
-                F.concat(
-                    F.lit(f"meta.schema_version must be '{SCHEMA_VERSION}', got "),
-                    shown(obj, "$.meta.schema_version"),
-                ),
-            ),
-            when_bad(
-                (kind_of(obj, "$.timing.emitted_at") == "STRING") & is_timestamp(emitted),
-                F.concat(
-                    F.lit("timing.emitted_at is not a valid RFC3339 timestamp: "),
-                    shown(obj, "$.timing.emitted_at"),
-                ),
-            ),
-            when_bad(
-                (kind_of(obj, seq_path) == "BIGINT") & (field(obj, seq_path, "bigint") >= 1),
-                F.concat(F.lit("timing.seq must be an integer >= 1, got "), shown(obj, seq_path)),
-            ),
-            when_bad(
-                (kind_of(obj, "$.identity.node_id") == "STRING")
-                & (F.length(F.btrim(node, F.lit(WHITESPACE))) > 0),
-                "identity.node_id must be a non-empty string",
-            ),
-            when_bad(kind_of(obj, "$.signals").startswith("OBJECT"), "signals must be an object"),
-        )
+    absent = ", ".join(
+        f"CASE WHEN try_variant_get({obj}, '$.{key}', 'variant') IS NULL THEN '{key}' END"
+        for key in REQUIRED_KEYS
     )
-    return (
-        F.when(obj.isNull(), F.array(F.lit("invalid JSON")))
-        .when(
-            ~_is_object(obj),
-            F.array(F.concat(F.lit("expected JSON object, got "), _root_type(obj))),
-        )
-        .when(
-            F.size(missing) > 0,
-            F.array(F.concat(F.lit("missing required keys: "), _list_text(missing))),
-        )
-        .otherwise(nested)
+    missing = f"array_compact(array({absent}))"
+    health, version = "_assessment.health", "_meta.schema_version"
+    emitted, seq, node = "_timing.emitted_at", "_timing.seq", "_identity.node_id"
+    allowed = ", ".join(f"'{h}'" for h in HEALTH_VALUES)
+    listed = ", ".join(f"\\'{h}\\'" for h in HEALTH_VALUES)
+    checks = [
+        _when_bad(
+            _is_string(health, f"{get(health)} IN ({allowed})"),
+            f"concat('assessment.health must be one of [{listed}], got ', {shown(health)})",
+        ),
+        _when_bad(
+            f"{get('_assessment.reasons', 'array<variant>')} IS NOT NULL",
+            "'assessment.reasons must be an array'",
+        ),
+        _when_bad(
+            _is_string(version, f"{get(version)} = '{SCHEMA_VERSION}'"),
+            f"concat('meta.schema_version must be \\'{SCHEMA_VERSION}\\', got ', {shown(version)})",
+        ),
+        _when_bad(
+            _is_string(emitted, "_emitted_ok"),
+            f"concat('timing.emitted_at is not a valid RFC3339 timestamp: ', {shown(emitted)})",
+        ),
+        _when_bad(
+            f"{kind_of(seq)} = 'BIGINT' AND {get(seq, 'bigint')} >= 1",
+            f"concat('timing.seq must be an integer >= 1, got ', {shown(seq)})",
+        ),
+        _when_bad(
+            _is_string(node, f"btrim({get(node)}, '{WHITESPACE}') <> ''"),
+            "'identity.node_id must be a non-empty string'",
+        ),
+        _when_bad(
+            f"try_variant_get({obj}, '$.signals', 'struct<>') IS NOT NULL",
+            "'signals must be an object'",
+        ),
+    ]
+    return F.expr(
+        f"CASE WHEN {obj} IS NULL THEN array('invalid JSON')"
+        f" WHEN NOT {_is_object(line)}"
+        f" THEN array(concat('expected JSON object, got ', {_root_type(obj)}))"
+        f" WHEN size({missing}) > 0 THEN array(concat("
+        f"'missing required keys: [\\'', array_join({missing}, '\\', \\''), '\\']'))"
+        f" ELSE array_compact(array({', '.join(checks)})) END"
     )
 
 
 def validate_lines(lines: DataFrame) -> DataFrame:
     """Add ``errors`` and ``is_valid`` to non-blank report lines."""
     kept = lines.filter(~is_blank(F.col("line")))
-    parsed = with_json(kept, F.col("line"), "_obj")
-    checked = once(parsed, errors=report_errors(F.col("line"), F.col("_obj")))
-    return checked.drop("_obj").withColumn("is_valid", F.size("errors") == 0)
+    parsed = with_sections(with_json(kept, F.col("line"), "_obj"), "_obj", CHECKED_SECTIONS)
+    stamped = parsed.withColumn("_emitted_ok", is_timestamp(F.expr(get("_timing.emitted_at"))))
+    checked = once(stamped, errors=report_errors())
+    return checked.select(*lines.columns, "errors", (F.size("errors") == 0).alias("is_valid"))
 
 
 def validate_tail(lines: DataFrame, n: int = 200) -> DataFrame:
@@ -195,63 +180,84 @@ EVENT_STRINGS = [
 ]
 
 
-def event_errors(obj: Column) -> Column:
-    """Violations of the event contract of one parsed line (VARIANT of any type)."""
-    def present(name: str) -> Column:
-        return kind_of(obj, f"$.{name}").isNotNull()
+EVENT_FIELDS = [
+    "agent_version", "event_type", "utc_now", "mode", "overrun", "spool_max_bytes",
+    *[name for name in EVENT_STRINGS if name != "mode"],
+    *EVENT_MINIMUMS,
+]
 
-    def is_text(name: str) -> Column:
-        return kind_of(obj, f"$.{name}") == "STRING"
 
-    def text(name: str) -> Column:
-        return field(obj, f"$.{name}", "string")
+def event_errors(line: str = "line", obj: str = "_obj") -> Column:
+    """Violations of the event contract; ``_event`` holds the line's untyped fields."""
+    def at(name: str) -> str:
+        return f"_event.{name}"
+
+    def unless(name: str, check: str, message: str) -> str:
+        return (
+            f"CASE WHEN {at(name)} IS NOT NULL AND NOT coalesce({check}, false) THEN {message} END"
+        )
+
+    def text_in(name: str, values: list[str]) -> str:
+        listed = ", ".join(f"'{v}'" for v in values)
+        return _is_string(at(name), f"{get(at(name))} IN ({listed})")
 
-    version_ok = is_text("agent_version") & (text("agent_version") != "")
     checks = [
-        F.when(~present(name), f"missing required key: {name}")
+        f"CASE WHEN {at(name)} IS NULL THEN 'missing required key: {name}' END"
         for name in ("agent_version", "event_type", "utc_now")
     ]
     checks += [
-        F.when(present("agent_version") & _is_false(version_ok), "agent_version must be non-empty"),
-        F.when(
-            present("event_type") & _is_false(is_text("event_type") & text("event_type").isin(EVENT_TYPES)),
-            F.concat(F.lit("unknown event_type: "), shown(obj, "$.event_type")),
+        unless(
+            "agent_version",
+            _is_string(at("agent_version"), f"{get(at('agent_version'))} <> ''"),
+            "'agent_version must be non-empty'",
         ),
-        F.when(
-            present("utc_now") & _is_false(is_text("utc_now") & is_timestamp(text("utc_now"))),
-            F.concat(F.lit("utc_now is not a timestamp: "), shown(obj, "$.utc_now")),
+        unless(
+            "event_type",
+            text_in("event_type", EVENT_TYPES),
+            f"concat('unknown event_type: ', {shown(at('event_type'))})",
         ),
-        F.when(
-            is_text("mode") & ~text("mode").isin(EVENT_MODES),
-            F.concat(F.lit("unknown mode: "), shown(obj, "$.mode")),
+        unless(
+            "utc_now",
+            _is_string(at("utc_now"), "_utc_ok"),
+            f"concat('utc_now is not a timestamp: ', {shown(at('utc_now'))})",
         ),
-        F.when(
-            present("overrun") & (kind_of(obj, "$.overrun") != "BOOLEAN"),
-            "overrun must be a boolean",
+        unless(
+            "mode",
+            f"{kind_of(at('mode'))} <> 'STRING' OR {text_in('mode', EVENT_MODES)}",
+            f"concat('unknown mode: ', {shown(at('mode'))})",
         ),
-        F.when(
-            present("spool_max_bytes") & ~kind_of(obj, "$.spool_max_bytes").isin("BIGINT", "VOID"),
-            "spool_max_bytes must be an integer or null",
+        unless("overrun", f"{kind_of(at('overrun'))} = 'BOOLEAN'", "'overrun must be a boolean'"),
+        unless(
+            "spool_max_bytes",
+            f"{kind_of(at('spool_max_bytes'))} IN ('BIGINT', 'VOID')",
+            "'spool_max_bytes must be an integer or null'",
         ),
     ]
     checks += [
-        F.when(present(name) & ~is_text(name), f"{name} must be a string") for name in EVENT_STRINGS
+        unless(name, f"{kind_of(at(name))} = 'STRING'", f"'{name} must be a string'")
+        for name in EVENT_STRINGS
     ]
-    for name, least in EVENT_MINIMUMS.items():
-        ok = (kind_of(obj, f"$.{name}") == "BIGINT") & (field(obj, f"$.{name}", "bigint") >= least)
-        checks.append(
-            F.when(present(name) & _is_false(ok), f"{name} must be an integer >= {least}")
+    checks += [
+        unless(
+            name,
+            f"{kind_of(at(name))} = 'BIGINT' AND {get(at(name), 'bigint')} >= {least}",
+            f"'{name} must be an integer >= {least}'",
         )
-    return (
-        F.when(obj.isNull(), F.array(F.lit("invalid JSON")))
-        .when(~_is_object(obj), F.array(F.lit("expected JSON object")))
-        .otherwise(F.array_compact(F.array(*checks)))
+        for name, least in EVENT_MINIMUMS.items()
+    ]
+    return F.expr(
+        f"CASE WHEN {obj} IS NULL THEN array('invalid JSON')"
+        f" WHEN NOT {_is_object(line)} THEN array('expected JSON object')"
+        f" ELSE array_compact(array({', '.join(checks)})) END"
     )
 
 
 def validate_events(lines: DataFrame) -> DataFrame:
     """Add ``errors`` and ``is_valid`` to non-blank event lines."""
     kept = lines.filter(~is_blank(F.col("line")))
+    fields = ", ".join(f"{name}: variant" for name in EVENT_FIELDS)
     parsed = with_json(kept, F.col("line"), "_obj")
-    checked = once(parsed, errors=event_errors(F.col("_obj")))
-    return checked.drop("_obj").withColumn("is_valid", F.size("errors") == 0)
+    parsed = once(parsed, _event=F.expr(f"try_variant_get(_obj, '$', 'struct<{fields}>')"))
+    stamped = parsed.withColumn("_utc_ok", is_timestamp(F.expr(get("_event.utc_now"))))
+    checked = once(stamped, errors=event_errors())
+    return checked.select(*lines.columns, "errors", (F.size("errors") == 0).alias("is_valid"))

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigil.functions.parse import has_status_fields
+from vigil.functions.parse import has_status_fields, with_sections
 from vigil.operators import fleet, summarize, validate
 from vigil.operators.filters import single_node_files, summary_filter
 from vigil.plans import render
@@ -59,7 +59,9 @@ def status_lines(reports: DataFrame, fmt: str = "text") -> DataFrame:
 
 def last_valid_reports(parsed: DataFrame) -> DataFrame:
     """The last report of each file that has node, health, seq and time."""
-    valid = spool.reports_of(parsed.filter(has_status_fields(F.col("obj"))))
+    needed = ("assessment", "identity", "timing")
+    complete = with_sections(parsed, only=needed).filter(has_status_fields())
+    valid = spool.reports_of(complete.select(*parsed.columns))
     whole = [c for c in valid.columns if c != "file_path"]
     last = valid.groupBy("file_path").agg(
         F.max_by(F.struct(*whole), F.struct(*spool.LINE_ORDER)).alias("last")

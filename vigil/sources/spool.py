@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from vigil.functions.parse import is_blank, report_columns, with_object
+from vigil.functions.parse import is_blank, report_columns, with_object, with_sections
 from vigil.operators.tail import tail_rows
 
 # Physical position of a line: file, then block start, then order inside the block.
@@ -83,7 +83,8 @@ def reports_of(parsed: DataFrame) -> DataFrame:
     """Typed reports of the lines that parsed; positions stay as arrival order."""
     kept = parsed.filter(F.col("obj").isNotNull())
     position = [c for c in parsed.columns if c not in ("line", "obj", "is_invalid")]
-    return kept.select(*position, *report_columns(F.col("obj")))
+    typed = with_sections(kept).select(*position, *report_columns())
+    return typed.withColumn("node_id", F.coalesce("node_id_raw", F.lit("unknown")))
 
 
 def read_spool(
