@@ -3,7 +3,7 @@
 Spark's ``round`` and ``format_string`` work on the shortest decimal text of a
 double, so 2.675 becomes 2.68 although its binary value lies below the tie.
 ``format_number`` rounds the binary value itself, ties to even (2.67), which is
-what reports show.
+what reports show. Digits beyond the 15 or so a double carries are zeros.
 """
 
 from __future__ import annotations

@@ -53,30 +53,32 @@ def once(table: DataFrame, **columns: Column) -> DataFrame:
     return table.select("*", F.inline(F.array(row)))
 
 
+# A parsed line stays the only element of the array it was parsed in: cutting a
+# whole object out of a VARIANT costs as much as parsing it.
+ROOT = "$[0]"
+
+
 def with_json(table: DataFrame, text: Column, name: str = "obj") -> DataFrame:
-    """Add the VARIANT of a text holding exactly one JSON value, else null.
+    """Add the VARIANT of a text holding exactly one JSON value, else null; read it from ROOT.
 
     The parser ignores what follows the first value, so the text is parsed as
     the only element of an array. A text that itself closes that array is told
     apart by parsing it as a member of an object too, which it cannot close;
-    an object can only do so with a bracket right after its closing brace.
+    an object can only do so with a bracket after its closing brace.
     """
-    may_close = (
-        "(NOT startswith(_text, '{') OR contains(_text, '}]') OR _text RLIKE '[}][ \\\\t\\\\r]+\\\\]')"
-    )
-    parsed = once(
-        table.withColumn("_text", text),
-        _boxed=F.expr("try_parse_json('[' || _text || ']')"),
-        _closes=F.expr(
-            f"CASE WHEN {may_close} THEN try_parse_json('{{\"m\":' || _text || '}}') IS NULL"
-            " ELSE false END"
-        ),
+    marks = ["}]", "} ", "}\\t", "}\\r", "}\\n"]
+    may_close = " OR ".join(f"contains(_text, '{mark}')" for mark in marks)
+    parsed = table.withColumn("_text", text).selectExpr(
+        "*",
+        "try_parse_json('[' || _text || ']') AS _boxed",
+        f"CASE WHEN NOT startswith(_text, '{{') OR {may_close}"
+        " THEN try_parse_json('{\"m\":' || _text || '}') IS NULL ELSE false END AS _closes",
     )
-    alone = F.expr(
-        "CASE WHEN try_variant_get(_boxed, '$[1]', 'variant') IS NULL AND NOT _closes"
-        " THEN try_variant_get(_boxed, '$[0]', 'variant') END"
+    alone = "try_variant_get(_boxed, '$[1]', 'variant') IS NULL AND NOT _closes"
+    value = F.expr(
+        f"CASE WHEN {alone} AND _text <> '' THEN _boxed END"
     )
-    return once(parsed, **{name: alone}).drop("_text", "_boxed", "_closes")
+    return once(parsed, **{name: value}).drop("_text", "_boxed", "_closes")
 
 
 def with_object(table: DataFrame, line: str = "line", name: str = "obj") -> DataFrame:
@@ -95,7 +97,7 @@ def with_sections(table: DataFrame, obj: str = "obj", only: tuple[str, ...] = ()
     for section in only or tuple(SECTIONS):
         fields = ", ".join(f"{name}: variant" for name in SECTIONS[section])
         kind = f"struct<{fields}>"
-        found[f"_{section}"] = F.expr(f"try_variant_get({obj}, '$.{section}', '{kind}')")
+        found[f"_{section}"] = F.expr(f"try_variant_get({obj}, '{ROOT}.{section}', '{kind}')")
     return once(table, **found)
 
 

@@ -33,7 +33,9 @@ def alert_code(emitted: DataFrame, filtered: bool = True) -> DataFrame:
         .when(F.bool_or(health == "DEGRADED"), 2)
         .otherwise(0)
     )
-    return emitted.agg((code if filtered else F.min(F.lit(0)).cast("int")).alias("alert_code"))
+    if not filtered:
+        code = F.coalesce(F.min(F.lit(0)), F.lit(0))
+    return emitted.agg(code.alias("alert_code"))
 
 
 def summary_meta(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vigil.functions.parse import (
+    ROOT,
     WHITESPACE,
     get,
     is_blank,
@@ -46,7 +47,7 @@ def _is_string(value: str, check: str) -> str:
 
 
 def _root_type(obj: str) -> str:
-    kind = kind_of(obj)
+    kind = kind_of(f"try_variant_get({obj}, '{ROOT}', 'variant')")
     return (
         f"CASE WHEN {kind} = 'VOID' THEN 'NoneType' WHEN {kind} = 'STRING' THEN 'str'"
         f" WHEN {kind} = 'BOOLEAN' THEN 'bool' WHEN {kind} = 'BIGINT' THEN 'int'"
@@ -68,8 +69,10 @@ def report_errors(line: str = "line", obj: str = "_obj") -> Column:
     ``obj`` is the line's JSON value of any type, or null if it is no JSON; its
     sections must have been added.
     """
+    # a section that is an object has been found already
     absent = ", ".join(
-        f"CASE WHEN try_variant_get({obj}, '$.{key}', 'variant') IS NULL THEN '{key}' END"
+        f"CASE WHEN _{key} IS NULL AND try_variant_get({obj}, '{ROOT}.{key}', 'variant') IS NULL"
+        f" THEN '{key}' END"
         for key in REQUIRED_KEYS
     )
     missing = f"array_compact(array({absent}))"
@@ -102,10 +105,7 @@ def report_errors(line: str = "line", obj: str = "_obj") -> Column:
             _is_string(node, f"btrim({get(node)}, '{WHITESPACE}') <> ''"),
             "'identity.node_id must be a non-empty string'",
         ),
-        _when_bad(
-            f"try_variant_get({obj}, '$.signals', 'struct<>') IS NOT NULL",
-            "'signals must be an object'",
-        ),
+        _when_bad("_signals IS NOT NULL", "'signals must be an object'"),
     ]
     return F.expr(
         f"CASE WHEN {obj} IS NULL THEN array('invalid JSON')"
@@ -121,7 +121,11 @@ def validate_lines(lines: DataFrame) -> DataFrame:
     """Add ``errors`` and ``is_valid`` to non-blank report lines."""
     kept = lines.filter(~is_blank(F.col("line")))
     parsed = with_sections(with_json(kept, F.col("line"), "_obj"), "_obj", CHECKED_SECTIONS)
-    stamped = parsed.withColumn("_emitted_ok", is_timestamp(F.expr(get("_timing.emitted_at"))))
+    stamped = parsed.select(
+        "*",
+        F.expr(f"try_variant_get(_obj, '{ROOT}.signals', 'struct<>') AS _signals"),
+        is_timestamp(F.expr(get("_timing.emitted_at"))).alias("_emitted_ok"),
+    )
     checked = once(stamped, errors=report_errors())
     return checked.select(*lines.columns, "errors", (F.size("errors") == 0).alias("is_valid"))
 
@@ -257,7 +261,7 @@ def validate_events(lines: DataFrame) -> DataFrame:
     kept = lines.filter(~is_blank(F.col("line")))
     fields = ", ".join(f"{name}: variant" for name in EVENT_FIELDS)
     parsed = with_json(kept, F.col("line"), "_obj")
-    parsed = once(parsed, _event=F.expr(f"try_variant_get(_obj, '$', 'struct<{fields}>')"))
+    parsed = once(parsed, _event=F.expr(f"try_variant_get(_obj, '{ROOT}', 'struct<{fields}>')"))
     stamped = parsed.withColumn("_utc_ok", is_timestamp(F.expr(get("_event.utc_now"))))
     checked = once(stamped, errors=event_errors())
     return checked.select(*lines.columns, "errors", (F.size("errors") == 0).alias("is_valid"))
