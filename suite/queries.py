@@ -29,7 +29,7 @@ from vigil.operators import (
 )
 from vigil.operators.tail import tail_rows
 from vigil.plans import commands, event_reports as er, render
-from vigil.session import fresh_folder
+from vigil.session import fresh_folder, settle
 from vigil.sources import event_log, spool, thresholds
 from vigil.streaming import sources as live, stateful, windows
 
@@ -218,9 +218,8 @@ def verdict_by_profile(spark, sf):
     signals = er.signals(spark, sf).withColumn(
         "threshold_profile", F.concat(F.lit("p"), F.col("user_id").cast("string"))
     )
-    judged = profiles.evaluate_by_profile(
-        signals, threshold_profiles(spark, sf), failure_reasons(F.col("outcomes"))
-    )
+    table = settle(threshold_profiles(spark, sf), "profiles")
+    judged = profiles.evaluate_by_profile(signals, table, failure_reasons(F.col("outcomes")))
     return judged.select("event_id", "health", joined("reasons").alias("reasons"))
 
 
@@ -342,14 +341,9 @@ def alert_code(spark, sf):
     return fleet.alert_code(summaries(spark, sf).filter(keep))
 
 
-def run_meta(spark, sf) -> DataFrame:
-    keep = filters.summary_filter(min_degraded_count=45)
-    return fleet.summary_meta(summaries(spark, sf), keep, TAIL, COMPUTED_AT)
-
-
 @query
 def summary_meta(spark, sf):
-    return run_meta(spark, sf)
+    return meta_of(summaries(spark, sf))
 
 
 @query
@@ -687,9 +681,20 @@ def sustained_alerts(spark, sf):
 # --- printed reports ------------------------------------------------------
 
 
+def written_summaries(spark, sf) -> DataFrame:
+    """Summaries that a document reads more than once."""
+    return settle(summaries(spark, sf), "summaries")
+
+
+def meta_of(table: DataFrame) -> DataFrame:
+    keep = filters.summary_filter(min_degraded_count=45)
+    return fleet.summary_meta(table, keep, TAIL, COMPUTED_AT)
+
+
 @query
 def render_text(spark, sf):
-    return render.document(summaries(spark, sf), "text", run_meta(spark, sf))
+    table = written_summaries(spark, sf)
+    return render.document(table, "text", meta_of(table))
 
 
 @query
@@ -699,7 +704,7 @@ def render_pretty(spark, sf):
 
 @query
 def render_table(spark, sf):
-    return render.document(summaries(spark, sf), "table")
+    return render.document(written_summaries(spark, sf), "table")
 
 
 @query
@@ -709,12 +714,14 @@ def render_explain(spark, sf):
 
 @query
 def summary_json(spark, sf):
-    return render.document(summaries(spark, sf), "json", run_meta(spark, sf))
+    table = written_summaries(spark, sf)
+    return render.document(table, "json", meta_of(table))
 
 
 @query
 def dual_output(spark, sf):
-    return render.dual(summaries(spark, sf), "json", run_meta(spark, sf))
+    table = written_summaries(spark, sf)
+    return render.dual(table, "json", meta_of(table))
 
 
 @query

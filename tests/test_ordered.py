@@ -60,6 +60,39 @@ def test_run_position_and_numbers(spark):
             assert number[row[1]] == i + 1
 
 
+def test_rows_without_segment_come_first(spark):
+    rows = [("n", i, None if i < 3 else i // 4, v) for i, v in enumerate("xxyyyxxx")]
+    table = table_of(spark, rows)
+    got = ordered.with_previous(table, ["node_id"], ["place"], "piece", ["value"])
+    assert [r["prev_value"] for r in got.orderBy("place").collect()] == [None, *"xxyyyxx"]
+    got = ordered.run_position(table, ["node_id"], ["place"], "piece", "value")
+    assert [r["position"] for r in got.orderBy("place").collect()] == [1, 2, 1, 2, 3, 1, 2, 3]
+    got = ordered.numbered(table, ["node_id"], ["place"], "piece")
+    assert [r["number"] for r in got.orderBy("place").collect()] == list(range(1, 9))
+    got = ordered.islands(table, ["node_id"], ["place"], "piece", "value", "place")
+    assert sorted(tuple(r)[2:] for r in got.collect()) == [(0, 1, 2), (2, 4, 3), (5, 7, 3)]
+
+
+def test_one_scan_and_shuffle_of_the_rows(spark, tmp_path):
+    """The second part of the previous-row operator reuses the first one's shuffle."""
+    table_of(spark, history(5)).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    got = ordered.with_previous(table, ["node_id"], ["place"], "piece", ["value"])
+    got.collect()
+    final = got._jdf.queryExecution().executedPlan().toString()
+    final = final[: final.index("Initial Plan")] if "Initial Plan" in final else final
+    assert final.count("FileScan") == 1 and "ReusedExchange" in final
+
+
+def test_run_over_many_segments(spark):
+    values = "xxxxxxxxxxyyyyyyyyxxxxxxxxxxxxzz"
+    for width in (1, 2, 3, 7):
+        rows = [("n", i, i // width, v) for i, v in enumerate(values)]
+        got = ordered.run_position(table_of(spark, rows), ["node_id"], ["place"], "piece", "value")
+        want = [1 + len(values[:i]) - len(values[:i].rstrip(v)) for i, v in enumerate(values)]
+        assert [r["position"] for r in got.orderBy("place").collect()] == want
+
+
 def test_islands(spark):
     for width in (1, 23, 10_000):
         rows = [(k, p, p // width, v) for k, p, _, v in history(3)]

@@ -27,6 +27,16 @@ def _inner(keys: Sequence[str], segment: str, order: Sequence[str]):
     return Window.partitionBy(*keys, segment).orderBy(*order)
 
 
+def _join_segments(
+    rows: DataFrame, carried: DataFrame, keys: Sequence[str], segment: str
+) -> DataFrame:
+    """Left join of one ``carried`` row per segment; a null key or segment matches itself."""
+    on = [*keys, segment]
+    side = carried.withColumnsRenamed({name: f"_on_{name}" for name in on})
+    same = [F.col(name).eqNullSafe(F.col(f"_on_{name}")) for name in on]
+    return rows.join(side, same, "left").drop(*[f"_on_{name}" for name in on])
+
+
 def with_previous(
     rows: DataFrame,
     keys: Sequence[str],
@@ -35,25 +45,32 @@ def with_previous(
     columns: Sequence[str],
     prefix: str = "prev_",
 ) -> DataFrame:
-    """Add the previous row's ``columns`` per key, and ``has_prev``."""
+    """Add the previous row's ``columns`` per key, and ``has_prev``.
+
+    Rows that follow another one inside their segment are done there. First and
+    last rows of segments, at most two each, are ordered per key once more. Both
+    parts read the same columns, so they share one scan and one shuffle.
+    """
     inner = _inner(keys, segment, order)
     value = F.struct(*columns)
-    inside = rows.withColumn("_before", F.lag(value).over(inner))
-    lasts = rows.groupBy(*keys, segment).agg(
-        F.max_by(value, F.struct(*order)).alias("_last")
+    marked = rows.select(
+        "*",
+        F.lag(value).over(inner).alias("_before"),
+        (F.row_number().over(inner) == 1).alias("_first"),
+        F.lead(F.lit(True)).over(inner).isNull().alias("_last"),
     )
-    carried = lasts.select(
-        *keys,
-        segment,
-        F.lag("_last").over(Window.partitionBy(*keys).orderBy(segment)).alias("_carried"),
+    inside = marked.filter(~F.col("_first"))
+    by_key = Window.partitionBy(*keys).orderBy(segment, *order)
+    border = marked.filter(F.col("_first") | F.col("_last"))
+    # a first row has no "_before" yet; naming it keeps the columns of both parts alike
+    carried = F.coalesce(F.col("_before"), F.lag(value).over(by_key))
+    firsts = border.withColumn("_before", carried).filter("_first")
+    both = inside.unionByName(firsts)
+    return both.select(
+        *[F.col(c) for c in rows.columns],
+        F.col("_before").isNotNull().alias("has_prev"),
+        *[F.col("_before").getField(c).alias(f"{prefix}{c}") for c in columns],
     )
-    joined = inside.join(carried, [*keys, segment], "left")
-    before = F.coalesce("_before", "_carried")
-    out = joined.withColumn("_before", before).drop("_carried")
-    out = out.withColumn("has_prev", F.col("_before").isNotNull())
-    for name in columns:
-        out = out.withColumn(f"{prefix}{name}", F.col("_before").getField(name))
-    return out.drop("_before")
 
 
 def run_position(
@@ -64,35 +81,53 @@ def run_position(
     value: str,
     name: str = "position",
 ) -> DataFrame:
-    """Number rows 1, 2, … per key, starting again whenever ``value`` changes."""
-    flagged = with_previous(rows, keys, order, segment, [value])
-    starts = ~F.col("has_prev") | ~F.col(value).eqNullSafe(F.col(f"prev_{value}"))
-    flagged = flagged.withColumn("_starts", starts).drop("has_prev", f"prev_{value}")
+    """Number rows 1, 2, … per key, starting again whenever ``value`` changes.
+
+    Rows after a change inside their segment count from it. The others go on
+    from the run left open by the segments before, if that has the same value.
+    """
     inner = _inner(keys, segment, order)
-    ranked = flagged.withColumn("_at", F.row_number().over(inner))
     so_far = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = ranked.withColumn("_start", F.max(F.when(F.col("_starts"), F.col("_at"))).over(so_far))
-    # length of the run still open at the end of each segment
-    ends = ranked.groupBy(*keys, segment).agg(
-        F.max("_at").alias("_n"), F.max("_start").alias("_start")
+    placed = rows.select(
+        "*",
+        F.row_number().over(inner).alias("_at"),
+        F.lag(value).over(inner).alias("_before"),
+        F.first(value).over(so_far).alias("_head"),
+        F.lead(F.lit(True)).over(inner).isNull().alias("_last"),
     )
-    open_rows = F.when(F.col("_start").isNull(), F.col("_n")).otherwise(
-        F.col("_n") - F.col("_start") + 1
+    changed = (F.col("_at") > 1) & ~F.col(value).eqNullSafe(F.col("_before"))
+    marked = placed.withColumn(
+        "_start", F.max(F.when(changed, F.col("_at"))).over(so_far)
+    ).drop("_before")
+
+    # one row per segment: its first and last value and the length of its last run
+    ends = marked.filter("_last").select(
+        *keys,
+        segment,
+        "_head",
+        F.col(value).alias("_tail"),
+        F.col("_start").isNotNull().alias("_closed"),
+        (F.col("_at") - F.coalesce(F.col("_start") - 1, F.lit(0))).alias("_open"),
     )
     by_key = Window.partitionBy(*keys).orderBy(segment)
-    ends = ends.withColumn("_group", F.count("_start").over(by_key))
-    in_group = Window.partitionBy(*keys, "_group").orderBy(segment)
-    ends = ends.withColumn("_open", F.sum(open_rows).over(in_group))
+    goes_on = F.coalesce(F.col("_head").eqNullSafe(F.lag("_tail").over(by_key)), F.lit(False))
+    goes_on = goes_on & (F.row_number().over(by_key) > 1)
+    ends = ends.withColumn("_goes_on", goes_on)
+    # segments that are one run continuing the one before add up
+    fresh = F.col("_closed") | ~F.col("_goes_on")
+    ends = ends.withColumn("_group", F.sum(fresh.cast("int")).over(by_key))
+    grouped = Window.partitionBy(*keys, "_group").orderBy(segment)
+    ends = ends.withColumn("_open", F.sum("_open").over(grouped))
     carried = ends.select(
-        *keys, segment, F.coalesce(F.lag("_open").over(by_key), F.lit(0)).alias("_open")
+        *keys,
+        segment,
+        F.when(F.col("_goes_on"), F.lag("_open").over(by_key)).otherwise(0).alias("_carried"),
     )
-    joined = ranked.join(carried, [*keys, segment], "left")
-    position = F.when(F.col("_start").isNull(), F.col("_open") + F.col("_at")).otherwise(
+    joined = _join_segments(marked, carried, keys, segment)
+    position = F.when(F.col("_start").isNull(), F.col("_carried") + F.col("_at")).otherwise(
         F.col("_at") - F.col("_start") + 1
     )
-    return joined.withColumn(name, position.cast("bigint")).drop(
-        "_starts", "_at", "_start", "_open"
-    )
+    return joined.select(*[F.col(c) for c in rows.columns], position.cast("bigint").alias(name))
 
 
 def numbered(
@@ -111,7 +146,7 @@ def numbered(
     offsets = sizes.select(
         *keys, segment, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
-    joined = inside.join(offsets, [*keys, segment])
+    joined = _join_segments(inside, offsets, keys, segment)
     return joined.withColumn(name, F.col("_offset") + F.col("_at")).drop("_at", "_offset")
 
 
@@ -139,8 +174,7 @@ def islands(
         "_run",
         F.sum("_starts").over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
     )
-    runs = marked.groupBy(*keys, segment, "_run").agg(
-        F.first(value).alias(value),
+    runs = marked.groupBy(*keys, segment, "_run", value).agg(
         F.min(time).alias("start"),
         F.max(time).alias("end"),
         F.count(F.lit(1)).alias("rows"),
@@ -150,13 +184,15 @@ def islands(
     closed = runs.filter(~at_border).select(*keys, value, "start", "end", "rows")
     by_key = Window.partitionBy(*keys).orderBy(segment, "_run")
     border = runs.filter(at_border)
-    joins_on = (F.lag(segment).over(by_key) != F.col(segment)) & F.col(value).eqNullSafe(
-        F.lag(value).over(by_key)
+    # in a segment's last run the one before is its own first run, or hidden in between
+    joins_on = (
+        (F.col("_run") == 1)
+        & (F.row_number().over(by_key) > 1)
+        & F.col(value).eqNullSafe(F.lag(value).over(by_key))
     )
     border = border.withColumn("_new", F.when(joins_on, 0).otherwise(1))
     border = border.withColumn("_island", F.sum("_new").over(by_key))
-    merged = border.groupBy(*keys, "_island").agg(
-        F.first(value).alias(value),
+    merged = border.groupBy(*keys, "_island", value).agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         F.sum("rows").alias("rows"),

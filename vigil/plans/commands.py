@@ -10,7 +10,7 @@ from vigil.functions.parse import has_status_fields, with_sections
 from vigil.operators import fleet, summarize, validate
 from vigil.operators.filters import single_node_files, summary_filter
 from vigil.plans import render
-from vigil.session import configure
+from vigil.session import configure, settle
 from vigil.sources import spool
 
 ARRIVAL = spool.ARRIVAL
@@ -18,7 +18,7 @@ ARRIVAL = spool.ARRIVAL
 
 @dataclass
 class Triage:
-    """Tables of one summarize run; nothing is computed until one is used."""
+    """Tables of one summarize run, all over the same written summaries."""
 
     summaries: DataFrame
     emitted: DataFrame
@@ -108,12 +108,15 @@ def summarize_spools(
     """
     configure(spark)
     keep = summary_filter(**conditions)
-    parsed = spool.tail_spool(spark, path, tail, glob)
+    # the spools are scanned once; everything below reads their tails or the summaries
+    tails = settle(spool.tail_lines(spool.read_lines(spark, path, glob), tail), "tails")
+    parsed = spool.parse_lines(tails)
     reports = spool.reports_of(parsed)
     if one_node_per_file is not None:
         reports = single_node_files(reports, one_node_per_file)
     # a node may own many files; each file's tail is one segment of its history
-    summaries = summarize.summarize_by_node(reports, top_k, ARRIVAL, segment="file_path")
+    table = summarize.summarize_by_node(reports, top_k, ARRIVAL, segment="file_path")
+    summaries = settle(table, "summaries")
     extra: dict[str, str | int] = {"spool_path": path}
     if glob is not None:
         extra = {"spool_dir": path, "files_seen": spool.count_files(spark, path, glob)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings only: they can be applied to a session somebody else built.
 RUNTIME_SETTINGS = {
@@ -67,3 +67,14 @@ def shared_folder(spark: SparkSession) -> str:
 def fresh_folder(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder; Spark creates it on first write."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def settle(table: DataFrame, label: str) -> DataFrame:
+    """Write a small table that is read several times, and return it read back.
+
+    Several results over one summary would each scan the whole history again.
+    The written table also survives the loss of executors.
+    """
+    path = fresh_folder(table.sparkSession, label)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
