@@ -17,26 +17,20 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "health_verdict",
     "verdict_by_profile",
-    "verdict_shift_matrix",
     "tail_per_node",
     "node_summary",
     "node_history_summary",
     "reason_counts",
     "health_transitions",
-    "signal_trends",
     "fleet_rollup",
-    "legacy_summary",
     "parse_lines",
     "validate_reports",
-    "validation_errors",
     "validate_events",
     "assign_seq",
     "sequence_audit",
-    "tick_drift",
     "tick_rollup",
     "sustained_alerts",
     "render_table",
-    "summary_json",
     "spool_summary",
     "stream_transitions",
 ]
@@ -48,7 +42,7 @@ def main() -> None:
 
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     spark = build_session(
         "bench",
         f"local[{cpus}]",
