@@ -18,7 +18,7 @@ from vigil.functions.parse import (
 from vigil.operators.ordered import numbered
 from vigil.operators.tail import tail_rows
 from vigil.schema import EVENT_MODES, EVENT_TYPES, HEALTH_VALUES, REQUIRED_KEYS, SCHEMA_VERSION
-from vigil.sources.spool import LINE_ORDER, _block_group
+from vigil.sources.spool import LINE_ORDER, block_group
 
 
 def shown(value: str) -> str:
@@ -139,7 +139,7 @@ def validate_tail(lines: DataFrame, n: int = 200) -> DataFrame:
     if n <= 0:
         tail = numbered(kept, ["file_path"], ["line_id"], "block_start", "line_no")
     else:
-        tail = tail_rows(kept, n, ["file_path"], LINE_ORDER, _block_group(kept))
+        tail = tail_rows(kept, n, ["file_path"], LINE_ORDER, block_group(kept))
         size = "max(tail_rank) OVER (PARTITION BY file_path)"
         tail = tail.withColumn("line_no", F.expr(f"CAST({size} - tail_rank + 1 AS BIGINT)"))
         tail = tail.drop("tail_rank")

@@ -56,7 +56,7 @@ def read_lines(
     )
 
 
-def _block_group(lines: DataFrame) -> Column:
+def block_group(lines: DataFrame) -> Column:
     """Neighbouring blocks of a file, so that a huge file is cut in many tasks."""
     spark = lines.sparkSession
     block = spark.conf.get("spark.sql.files.maxPartitionBytes", "128m")
@@ -69,7 +69,7 @@ def _block_group(lines: DataFrame) -> Column:
 def tail_lines(lines: DataFrame, n: int) -> DataFrame:
     """The last ``n`` physical lines of every file; blank lines use up places too."""
     return tail_rows(
-        lines, n, keys=["file_path"], order=LINE_ORDER, spread=_block_group(lines)
+        lines, n, keys=["file_path"], order=LINE_ORDER, spread=block_group(lines)
     )
 
 
