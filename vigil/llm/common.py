@@ -63,7 +63,7 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [value or b"" for value in column.cast(pa.large_binary()).to_pylist()]
 
 
-def batches_of(batches: Iterator[pa.RecordBatch], limit: int = 512 << 10, name: str = "text") -> Iterator[pa.RecordBatch]:
+def batches_of(batches: Iterator[pa.RecordBatch], limit: int = 256 << 10, name: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a piece has about ``limit`` bytes of text."""
     for batch in batches:
         rows = batch.num_rows

@@ -9,7 +9,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import common, licenses, merkle, toxicity, warc
+from vigil.llm import (
+    bpe,
+    common,
+    decontaminate,
+    licenses,
+    merkle,
+    minhash_dedup,
+    substring_dedup,
+    suffix_dedup,
+    toxicity,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -66,3 +77,36 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document, its edited text and their likeness."""
     return merkle.edited_pairs(common.read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return minhash_dedup.near_duplicates(common.read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 20-word windows that start earlier."""
+    return substring_dedup.deduplicate(common.read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of documents that match a benchmark item within its edit budget."""
+    docs, items = common.read_table(spark, sf_dir, "documents"), common.read_table(spark, sf_dir, "benchmark")
+    return decontaminate.find(docs, items)
+
+
+@query
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token digests of every document's text, and of the text decoded."""
+    import public_tokenizers
+
+    return bpe.encode_digests(common.read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 100-byte strings that start earlier."""
+    return suffix_dedup.deduplicate(common.read_table(spark, sf_dir, "documents"))

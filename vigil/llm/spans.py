@@ -10,7 +10,6 @@ so equal runs of symbols have equal hashes in every batch, task and job.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +23,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-# positions within a chunk that fit the low bits of a winnowing key
-POSITION_BITS = 27
+# positions within a slice take the low bits of a winnowing key
+POSITION_BITS = 20
+SLICE = 1 << 15
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -105,18 +105,6 @@ def split_words(texts: list[bytes], lower: bool) -> Words:
     return Words(data, starts, ends, np.searchsorted(starts, offsets), codes)
 
 
-def chunks(texts: list[bytes], limit: int = 8 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``limit`` bytes each; one long text is a range of its own."""
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        if i > start and size + len(text) > limit:
-            yield start, i
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum over every run of ``width`` values, by doubling."""
     have, done = values, 1
@@ -150,11 +138,13 @@ def winnow(codes: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tup
     none = np.zeros(0, dtype=np.int64)
     if len(codes) < window:
         return Anchors(none.astype(U64), none, none, none), rolling
-    if len(codes) >= 1 << POSITION_BITS:
-        raise ValueError("a chunk of texts is too long; cut it by chunks()")
+    # slice by slice, which also keeps the minima in the processor's cache
     low = U64((1 << POSITION_BITS) - 1)
-    keys = (hashes & ~low) | np.arange(len(hashes), dtype=U64)
-    picks = (sliding_minimum(keys, width) & low).astype(np.int64)
+    picks = np.empty(len(hashes) - width + 1, dtype=np.int64)
+    for base in range(0, len(picks), SLICE):
+        part = hashes[base : base + SLICE + width - 1]
+        keys = (part & ~low) | np.arange(len(part), dtype=U64)
+        picks[base : base + SLICE] = (sliding_minimum(keys, width) & low).astype(np.int64) + base
     # windows that would cross the end of a text are left out
     sizes = np.diff(bounds)
     keep = sizes >= window
