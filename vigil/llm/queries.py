@@ -14,6 +14,7 @@ from vigil.llm import (
     common,
     decontaminate,
     licenses,
+    lm_scoring,
     merkle,
     minhash_dedup,
     substring_dedup,
@@ -91,6 +92,12 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(common.read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of every document, learned outside fold 2 of 7."""
+    return lm_scoring.score(common.read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of documents that match a benchmark item within its edit budget."""
