@@ -195,11 +195,14 @@ def codec(path: str) -> Codec:
 
 
 ENCODED = pa.schema([("row", pa.int64()), ("did", pa.int64()), ("part", pa.int64()), ("parts", pa.int64()), ("ids", pa.list_(pa.int32()))])
-DIGESTS = pa.schema([("did", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+DIGESTS = pa.schema(
+    [("did", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+)
 
 
-def digest_row(own: Codec, ids: list[int]) -> tuple[int, str, str]:
+def digest_row(own: Codec, ids: list[int], with_ids: bool) -> tuple[list[int] | None, int, str, str]:
     return (
+        ids if with_ids else None,
         len(ids),
         hashlib.sha256(own.listed(ids).encode()).hexdigest(),
         hashlib.sha256(own.text_of(ids).encode()).hexdigest(),
@@ -272,22 +275,22 @@ def join_ids(own: Codec, left: list[int], right: list[int]) -> list[int]:
     return left[:a] + own.join(left[a:], right[:b]) + right[b:]
 
 
-def encode_digests(docs: DataFrame, path: str, *, split_chars: int = 1 << 16) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document's whole text."""
+def encode(docs: DataFrame, path: str, *, split_chars: int = 1 << 16, with_ids: bool = True) -> DataFrame:
+    """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256) of every document's whole text; ids are null if not asked for."""
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in common.batches_of(batches):
-            rows = [digest_row(own, own.encode(t)) for t in batch.column(1).to_pylist()]
+            rows = [digest_row(own, own.encode(t), with_ids) for t in batch.column(1).to_pylist()]
             yield common.pack(DIGESTS, batch.column(0), *map(list, zip(*rows, strict=True)))
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
             for did, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield common.pack(DIGESTS, *([x] for x in (did, *digest_row(own, ids))))
+                yield common.pack(DIGESTS, *([x] for x in (did, *digest_row(own, ids, with_ids))))
 
-    schema = "did long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = "did long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"
     texts = common.whole_texts(docs)
     out = texts.where(F.char_length("text") <= split_chars).mapInArrow(short, schema)
     longest = texts.agg(F.max(F.char_length("text"))).first()[0] or 0
@@ -298,4 +301,4 @@ def encode_digests(docs: DataFrame, path: str, *, split_chars: int = 1 << 16) ->
             parts = join_round(parts, path)
             count = -(-count // 2)
         out = out.unionByName(parts.select("did", "ids").mapInArrow(finished, schema))
-    return out.select(common.restore_id(), "n_tokens", "ids_sha256", "decoded_sha256")
+    return out.select(common.restore_id(), "ids", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -49,12 +49,12 @@ def fold(parts: int) -> Column:
     return F.pmod(F.crc32(key.cast("binary")), F.lit(parts))
 
 
-def whole_texts(docs: DataFrame) -> DataFrame:
+def whole_texts(docs: DataFrame, *more: str) -> DataFrame:
     """(did, text): the key and the whole text of every row, a null text being empty.
 
-    Only these two columns are taken, so other columns may bear any names.
+    Of the other columns only those named are taken, so the rest may bear any names.
     """
-    return docs.select(doc_key().alias("did"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return docs.select(doc_key().alias("did"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:

@@ -266,3 +266,17 @@ def find(docs: DataFrame, benchmark: DataFrame, *, errors: int = 10, shortest: i
     return out.select(
         common.restore_id(), "item_id", "edits", (1 - F.col("edits") / F.col("item_bytes")).alias("similarity"), "start", "end"
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, *, errors: int = 10, shortest: int = 32, block_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no region matching an item."""
+    for block in item_blocks(benchmark, shortest, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(Index(block, errors))
+
+        def kept(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in common.batches_of(batches):
+                found = {r[0] for r in regions(sent.value, common.texts_of(batch))}
+                yield batch.filter(pa.array([i not in found for i in range(batch.num_rows)]))
+
+        docs = docs.mapInArrow(kept, docs.schema)
+    return docs

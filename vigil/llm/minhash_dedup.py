@@ -236,3 +236,17 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
         F.when(F.col("component_did") != common.NO_ID, F.col("component_did")).alias("component_id"),
         (F.col("did") == F.col("component_did")).alias("kept"),
     )
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang, source, n_chars) without near-duplicates of a smaller doc_id.
+
+    Documents without words have no duplicates and stay. Of rows equal in doc_id and text one stays.
+    """
+    rows = cluster(docs, **options)
+    kept = common.settle(rows.where("uid = component").select("uid").distinct(), "kept")
+    found = repeats.unique_ids(docs, F.col("text").alias("whole"), "lang", "source", "n_chars")
+    found = found.join(kept, "uid", "left_semi")
+    if repeats.ids_repeat(docs):
+        found = found.dropDuplicates(["uid"])
+    return found.select(common.restore_id(), F.col("whole").alias("text"), "lang", "source", "n_chars")

@@ -110,7 +110,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token digests of every document's text, and of the text decoded."""
     import public_tokenizers
 
-    return bpe.encode_digests(common.read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    docs, path = common.read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.encode(docs, path, with_ids=False).drop("ids")
 
 
 @query

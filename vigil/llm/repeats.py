@@ -58,15 +58,21 @@ class Unit:
         return spans.BYTE_CODES[data], bounds, None
 
 
-def unique_ids(docs: DataFrame) -> DataFrame:
-    """(did, text, uid): uid tells documents apart and rises with (doc_id, text hash).
+def ids_repeat(docs: DataFrame) -> bool:
+    """Whether rows share a doc_id."""
+    ids = docs.select(common.doc_key().alias("did"))
+    return not ids.groupBy("did").count().where("count > 1").isEmpty()
+
+
+def unique_ids(docs: DataFrame, *more: str) -> DataFrame:
+    """(did, text, uid) and the columns ``more``: uid tells documents apart and rises with (doc_id, text hash).
 
     It is the doc_id itself unless rows share one. Rows that are equal in both
     are one document that stands there several times: they share a uid.
     """
-    texts = common.whole_texts(docs)
-    if texts.groupBy("did").count().where("count > 1").isEmpty():
-        return texts.withColumn("uid", F.col("did"))
+    texts = common.whole_texts(docs, *more)
+    if not ids_repeat(docs):
+        return texts.select("did", "text", F.col("did").alias("uid"), *more)
     keyed = texts.withColumn("text_key", F.xxhash64("text"))
     pairs = keyed.select("did", "text_key").distinct().repartitionByRange("did", "text_key")
     pairs = common.settle(pairs.select("did", "text_key", F.spark_partition_id().alias("part")), "ids")
@@ -76,7 +82,7 @@ def unique_ids(docs: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("part").orderBy("did", "text_key"))
     numbered = pairs.join(offsets, "part").select("did", "text_key", (place + F.col("offset")).cast("long").alias("uid"))
     numbered = common.settle(numbered, "uids")
-    return keyed.join(numbered, ["did", "text_key"]).select("did", "text", "uid")
+    return keyed.join(numbered, ["did", "text_key"]).select("did", "text", "uid", *more)
 
 
 def run_rows(unit: Unit, every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -174,7 +180,7 @@ def find(
     finish: Callable[[bytes, np.ndarray], tuple],
     result: list[tuple[str, str]],
 ) -> DataFrame:
-    """did and the result columns of every row of ``texts`` (did, text, uid).
+    """did, uid and the result columns of every row of ``texts`` (did, text, uid).
 
     ``compare`` takes Arrow batches of blocks, whole grams each, and yields
     (uid, first, count) of windows that occur earlier in another block.
@@ -228,20 +234,20 @@ def find(
     more = by_document(found)
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("did", pa.int64()), *((n, arrow[t]) for n, t in result)])
+        schema = pa.schema([("did", pa.int64()), ("uid", pa.int64()), *((n, arrow[t]) for n, t in result)])
         for batch in common.batches_of(batches):
             rows = []
             marks = batch.column(batch.schema.get_field_index("marks")).to_pylist()
             known = batch.column(batch.schema.get_field_index("removed")).to_pylist()
-            did = batch.column(batch.schema.get_field_index("did")).to_pylist()
+            did, uid = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("did", "uid"))
             for i, text in enumerate(common.texts_of(batch)):
                 late = np.array([(m["first"], m["count"]) for m in marks[i] or []], dtype=np.int64).reshape(-1, 2)
                 removed = np.concatenate([np.frombuffer(known[i], dtype=np.int64).reshape(-1, 2), late])
-                rows.append({"did": did[i]} | dict(zip(names, finish(text, removed), strict=True)))
+                rows.append({"did": did[i], "uid": uid[i]} | dict(zip(names, finish(text, removed), strict=True)))
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    late = pending.select("did", "uid", "text", "removed").join(more, "uid", "left").mapInArrow(finished, f"did long, {columns}")
-    return table.where("open is null").select("did", *names).unionByName(late)
+    late = pending.select("did", "uid", "text", "removed").join(more, "uid", "left").mapInArrow(finished, f"did long, uid long, {columns}")
+    return table.where("open is null").select("did", "uid", *names).unionByName(late)
 
 
 def block_rows(unit: Unit, uid: int, text: bytes, opens: np.ndarray) -> pa.RecordBatch:

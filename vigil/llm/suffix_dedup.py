@@ -229,13 +229,22 @@ def deduplicate(docs: DataFrame, window: int = 100) -> DataFrame:
 
 
 def kept_texts(docs: DataFrame, window: int = 100) -> DataFrame:
-    """(did, text_key, kept): each document's text without its repeats; text_key is xxhash64 of the input text."""
+    """(uid, kept): each document's text without its repeats, by ``repeats.unique_ids``."""
 
     def finish(text: bytes, removed: np.ndarray) -> tuple[str]:
         return (kept_bytes(text, removed, window)[0].decode("utf-8", "ignore"),)
 
-    texts = repeats.unique_ids(docs)
-    return repeats.find(texts, unit(window), remove_later(window), finish, [("kept", "string")])
+    found = repeats.find(repeats.unique_ids(docs), unit(window), remove_later(window), finish, [("kept", "string")])
+    found = found.select("uid", "kept")
+    return found.dropDuplicates(["uid"]) if repeats.ids_repeat(docs) else found
+
+
+def with_kept_texts(docs: DataFrame, window: int = 100) -> DataFrame:
+    """``documents`` rows (doc_id, text, lang, source, n_chars) with the repeats cut out of their texts."""
+    rows = repeats.unique_ids(docs, "lang", "source").select("did", "uid", "lang", "source")
+    return rows.join(kept_texts(docs, window), "uid").select(
+        common.restore_id(), F.col("kept").alias("text"), "lang", "source", F.char_length("kept").cast("long").alias("n_chars")
+    )
 
 
 def unit(window: int) -> repeats.Unit:
