@@ -6,13 +6,15 @@ Jaccard similarity of their sets, so a pair over the threshold agrees on at
 least ``matches`` coordinates but for a chance of ``loss``.
 
 * Documents with equal sets are one class, found by a digest of the set.
-* Representatives are posted under each (coordinate, value). A pair with
-  ``matches`` agreements among K misses K - matches at most, so it meets
-  under one of the first K - matches + 1 coordinates: only those are posted.
+* Representatives are posted under each (coordinate, value). Postings are
+  ordered by the documents they hold, rarest first. A pair with ``matches`` agreements among K
+  misses K - matches at most, so it meets under one of the first
+  K - matches + 1 postings of either document: only those are kept. Values
+  that many documents share by chance are thus skipped.
 * Under a posting with several documents, pairs are formed with a pivot, not with
   each other; agreements are counted on the whole signatures, pairs below
   ``matches`` dropped, and the document's best pair confirmed on the full sets.
-  Linked documents get one label. A second round takes other pivots.
+  Linked documents get one label. Further rounds take other pivots.
 * Postings whose documents still bear several labels are then joined in
   full, but only across labels, and without the pairs of the label that holds
   most: a hot group of copies is one label by now, and a pair it forms with
@@ -134,12 +136,15 @@ class Join:
         self.matches = least_matches(coordinates, percent / 100, loss)
         prefix = coordinates - self.matches + 1
         self.reps = reps  # uid, n_shingles, signature
-        head = F.slice("signature", 1, prefix)
-        postings = reps.select("uid", F.posexplode(head).alias("place", "value")).select(
+        every = reps.select("uid", F.posexplode("signature").alias("place", "value")).select(
             "uid", (F.shiftleft(F.col("place").cast("long"), 32) + F.col("value")).alias("posting")
         )
-        shared = postings.groupBy("posting").agg(F.count("*").alias("n")).where("n > 1").select("posting")
-        shared = common.settle(shared, "shared")
+        held = common.settle(every.groupBy("posting").agg(F.count("*").alias("n")).where("n > 1"), "held")
+        rarest = Window.partitionBy("uid").orderBy(F.coalesce("n", F.lit(1)), "posting")
+        first = every.join(held, "posting", "left").withColumn("rank", F.row_number().over(rarest))
+        first = common.settle(first.where((F.col("rank") <= prefix) & F.col("n").isNotNull()).select("uid", "posting"), "first")
+        shared = common.settle(first.groupBy("posting").agg(F.count("*").alias("n")).where("n > 1").select("posting"), "shared")
+        postings = first
         self.postings = common.settle(postings.join(shared, "posting", "left_semi"), "postings")
         self.labels = common.settle(self.postings.select("uid").distinct().withColumn("label", F.col("uid")), "labels")
         self.texts, self.width = texts, width
@@ -179,13 +184,16 @@ class Join:
         after = self.labels.join(joined, "label", "left").select("uid", F.coalesce("component", "label").alias("label"))
         self.labels = common.settle(after, "labels")
 
-    def pivot_round(self, smallest: bool) -> None:
-        """Each document's best pair with the pivots of its postings."""
+    def pivot_round(self, salt: int) -> None:
+        """Each document's best pair with the pivots of its postings; the salt chooses the pivots."""
         rows = self.labelled()
-        pivot = F.min("uid") if smallest else F.max("uid")
+        pivot = F.min_by("uid", F.xxhash64("uid", F.lit(salt))) if salt else F.min("uid")
         several = rows.groupBy("posting").agg(pivot.alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high"))
-        several = common.settle(several.where("low != high").select("posting", "pivot"), "pivots")
-        pairs = rows.join(several, "posting").where("uid != pivot").select(F.col("uid").alias("a"), F.col("pivot").alias("b")).distinct()
+        several = several.where("low != high").select("posting", "pivot")
+        own = self.labels.select(F.col("uid").alias("pivot"), F.col("label").alias("pivot_label"))
+        several = common.settle(several.join(own, "pivot"), "pivots")
+        pairs = rows.join(several, "posting").where("label != pivot_label")
+        pairs = pairs.select(F.col("uid").alias("a"), F.col("pivot").alias("b")).distinct()
         best = Window.partitionBy("a").orderBy(F.desc("agreements"), "b")
         self.confirm(self.counted(pairs).withColumn("place", F.row_number().over(best)).where("place = 1").drop("place"))
 
@@ -197,14 +205,24 @@ class Join:
         ranked = sizes.withColumn("place", F.row_number().over(order))
         several = ranked.where("place > 1").select("posting").distinct()
         largest = common.settle(ranked.where("place = 1").join(several, "posting", "left_semi").select("posting", F.col("label").alias("most")), "largest")
-        met = common.settle(rows.join(largest, "posting"), "met")
-        outside = met.where("label != most").select("posting", F.col("uid").alias("a"), F.col("label").alias("l_a"))
-        every = met.select("posting", F.col("uid").alias("b"), F.col("label").alias("l_b"), "most")
-        pairs = outside.join(every, "posting").where((F.col("l_b") == F.col("most")) | (F.col("l_a") < F.col("l_b")))
-        self.confirm(self.counted(pairs.select("a", "b").distinct()))
+        met = rows.join(largest, "posting").join(self.reps, "uid")
+        met = common.settle(met.select("posting", "uid", "label", "most", "n_shingles", "signature"), "met")
+        a = met.where("label != most").select("posting", *(F.col(c).alias(f"{c}_a") for c in ("uid", "label", "n_shingles", "signature")))
+        b = met.select("posting", "most", *(F.col(c).alias(f"{c}_b") for c in ("uid", "label", "n_shingles", "signature")))
+        small, large = F.least("n_shingles_a", "n_shingles_b"), F.greatest("n_shingles_a", "n_shingles_b")
+        meet = (
+            (a["posting"] == b["posting"])
+            & ((F.col("label_b") == F.col("most")) | (F.col("label_a") < F.col("label_b")))
+            & (small * 100 >= large * self.percent)
+            & (agreements("signature_a", "signature_b") >= self.matches)
+        )
+        pairs = a.join(b, meet).select(
+            F.col("uid_a").alias("a"), F.col("uid_b").alias("b"), F.col("n_shingles_a").alias("n_a"), F.col("n_shingles_b").alias("n_b")
+        )
+        self.confirm(pairs.distinct())
 
 
-def cluster(docs: DataFrame, *, width: int = 3, percent: int = 85, coordinates: int = 24, loss: float = 1e-6) -> DataFrame:
+def cluster(docs: DataFrame, *, width: int = 3, percent: int = 85, coordinates: int = 24, loss: float = 1e-6, rounds: int = 3) -> DataFrame:
     """(did, text_uid, n_shingles, component) of every row; component is a uid (see ``repeats.unique_ids``)."""
     texts = repeats.unique_ids(docs)
     signed = common.settle(texts.mapInArrow(signer(width, coordinates), SIGNED_SQL), "signed")
@@ -215,8 +233,8 @@ def cluster(docs: DataFrame, *, width: int = 3, percent: int = 85, coordinates:
     reps = members.where("uid = rep").select("uid", "n_shingles", "signature").dropDuplicates(["uid"])
     reps = common.settle(reps, "reps")
     state = Join(reps, texts, width, percent, coordinates, loss)
-    state.pivot_round(smallest=True)
-    state.pivot_round(smallest=False)
+    for salt in range(rounds):
+        state.pivot_round(salt)
     state.across_labels()
     labels = state.labels.select(F.col("uid").alias("rep"), "label")
     placed = members.select("uid", "rep").distinct().join(labels, "rep", "left")

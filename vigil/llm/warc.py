@@ -386,5 +386,9 @@ def archive(spark: SparkSession, pages: DataFrame, **options) -> DataFrame:
 
 
 def read_back(packages: DataFrame) -> DataFrame:
-    """All records of the packages; ranges are dealt out evenly before they are read."""
-    return read_records(locate_records(packages).repartition("package", "first_at"))
+    """All records of the packages; ranges are dealt out evenly before they are read.
+
+    The number of parts is given, as their rows are small and would be put together otherwise.
+    """
+    parts = int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return read_records(locate_records(packages).repartition(parts, "package", "first_at"))
