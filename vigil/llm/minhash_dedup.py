@@ -18,8 +18,10 @@ least ``matches`` coordinates but for a chance of ``loss``.
 * Postings whose documents still bear several labels are then joined in
   full, but only across labels, and without the pairs of the label that holds
   most: a hot group of copies is one label by now, and a pair it forms with
-  an outsider is the only kind left. All pairs with enough agreements are confirmed on
-  the full sets, so no link that joins two labels is lost.
+  an outsider is the only kind left. Copies too far apart to be linked would still form
+  all their pairs; each is first compared with one hub of the posting, and what sets it apart from
+  the hub bounds its distance from all others (``told_by_hubs``). All pairs that this and the agreements
+  leave are confirmed on the full sets, so no link that joins two labels is lost.
 
 Hot postings are aggregated before they are shuffled, and joined with written
 tables, so that adaptive execution can split them.
@@ -171,8 +173,7 @@ class Join:
         pairs = common.settle(pairs, "pairs")
         if pairs.isEmpty():
             return
-        wanted = common.settle(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct(), "wanted")
-        sets = common.settle(shingle_sets(self.texts.join(wanted, "uid", "left_semi").dropDuplicates(["uid"]), self.width), "sets")
+        sets = self.full_sets(pairs)
         a = sets.select(F.col("uid").alias("a"), F.col("shingles").alias("x"))
         b = sets.select(F.col("uid").alias("b"), F.col("shingles").alias("y"))
         shared = F.size(F.array_intersect("x", "y"))
@@ -197,6 +198,31 @@ class Join:
         best = Window.partitionBy("a").orderBy(F.desc("agreements"), "b")
         self.confirm(self.counted(pairs).withColumn("place", F.row_number().over(best)).where("place = 1").drop("place"))
 
+    def told_by_hubs(self, pairs: DataFrame) -> DataFrame:
+        """(uid, hub, apart, shared): how a document differs from a hub that it resembles.
+
+        ``apart`` counts the shingles that one of the two has and the other lacks, ``shared`` those of them that
+        set another document apart from this hub as well. Two documents a and b differ in
+        apart_a + apart_b - 2 * (what sets both apart), and the latter is ``shared`` of either at most. So a lower
+        bound for their difference follows without looking at the pair.
+        """
+        pairs = common.settle(self.counted(pairs).select("a", "b"), "resembling")
+        sets = self.full_sets(pairs)
+        x, y = sets.select(F.col("uid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("uid").alias("b"), F.col("shingles").alias("y"))
+        differ = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
+        marks = pairs.join(x, "a").join(y, "b").select(F.col("a").alias("uid"), F.col("b").alias("hub"), F.explode_outer(differ).alias("shingle"))
+        marks = common.settle(marks, "marks")
+        often = marks.where("shingle is not null").groupBy("hub", "shingle").agg(F.count("*").alias("n")).where("n > 1")
+        often = common.settle(often.select("hub", "shingle", F.lit(1).alias("one")), "often")
+        told = marks.join(often, ["hub", "shingle"], "left").groupBy("uid", "hub")
+        return common.settle(told.agg(F.count("shingle").alias("apart"), F.count("one").alias("shared")), "told")
+
+    def full_sets(self, pairs: DataFrame) -> DataFrame:
+        """(uid, shingles) of every document in ``pairs``."""
+        wanted = common.settle(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct(), "wanted")
+        texts = self.texts.join(wanted, "uid", "left_semi").dropDuplicates(["uid"])
+        return common.settle(shingle_sets(texts, self.width), "sets")
+
     def across_labels(self) -> None:
         """All pairs of different labels under a posting, those of its largest label aside."""
         rows = self.labelled()
@@ -207,13 +233,22 @@ class Join:
         largest = common.settle(ranked.where("place = 1").join(several, "posting", "left_semi").select("posting", F.col("label").alias("most")), "largest")
         met = rows.join(largest, "posting").join(self.reps, "uid")
         met = common.settle(met.select("posting", "uid", "label", "most", "n_shingles", "signature"), "met")
-        a = met.where("label != most").select("posting", *(F.col(c).alias(f"{c}_a") for c in ("uid", "label", "n_shingles", "signature")))
-        b = met.select("posting", "most", *(F.col(c).alias(f"{c}_b") for c in ("uid", "label", "n_shingles", "signature")))
+        hubs = met.where("label = most").groupBy("posting").agg(F.min("uid").alias("hub"))
+        met = met.join(common.settle(hubs, "hubs"), "posting")
+        told = self.told_by_hubs(met.where("uid != hub").select(F.col("uid").alias("a"), F.col("hub").alias("b")).distinct())
+        met = common.settle(met.join(told, ["uid", "hub"], "left").drop("hub"), "met")
+        names = ("uid", "label", "n_shingles", "signature", "apart", "shared")
+        a = met.where("label != most").select("posting", *(F.col(c).alias(f"{c}_a") for c in names))
+        b = met.select("posting", "most", *(F.col(c).alias(f"{c}_b") for c in names))
+        excess = F.col("apart_a") + F.col("apart_b") - 2 * F.least("shared_a", "shared_b")
+        allowed = (F.col("n_shingles_a") + F.col("n_shingles_b")) * (100 - self.percent)
+        near = F.col("apart_a").isNull() | F.col("apart_b").isNull() | (excess * (100 + self.percent) <= allowed)
         small, large = F.least("n_shingles_a", "n_shingles_b"), F.greatest("n_shingles_a", "n_shingles_b")
         meet = (
             (a["posting"] == b["posting"])
             & ((F.col("label_b") == F.col("most")) | (F.col("label_a") < F.col("label_b")))
             & (small * 100 >= large * self.percent)
+            & near
             & (agreements("signature_a", "signature_b") >= self.matches)
         )
         pairs = a.join(b, meet).select(
