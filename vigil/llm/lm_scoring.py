@@ -205,7 +205,7 @@ def learn_weights(seen: np.ndarray, deleted: np.ndarray, rounds: int) -> np.ndar
         mixed *= (n / mixed.sum(axis=1))[:, None]
         sums = np.stack([np.bincount(bucket, weights=mixed[:, k], minlength=64) for k in range(4)], axis=1)
         # one event spread evenly keeps every weight above 0, and buckets without events as they were
-        sums += weights
+        sums = sums + weights
         weights = sums / sums.sum(axis=1, keepdims=True)
     return weights
 

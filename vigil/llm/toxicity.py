@@ -187,17 +187,18 @@ def train(
     *,
     sample_rows: int = 6000,
     features: int = 4096,
+    per_row: float = 0.6,
     folds: int = 5,
     held_out: int = 0,
     pull: float = 1.0,
-    decay: float = 1e-5,
+    decay: float = 1e-3,
     steps: int = 300,
 ) -> Model:
     """Fit the model on a bounded sample of the labelled rows.
 
     The driver receives at most ``sample_rows`` sets of gram buckets. The
-    ``features`` buckets whose frequency differs most between the two kinds
-    take part in the descent.
+    ``features`` buckets (``per_row`` for each row at most) whose frequency differs
+    most between the two kinds take part in the descent.
     """
     found = (
         labelled_sample(docs, labels, sample_rows, folds, held_out)
@@ -225,7 +226,9 @@ def train(
         seen[k] * np.log(rate[k] / mean) + (n[k] - seen[k]) * np.log((1 - rate[k]) / (1 - mean)) for k in (0, 1)
     )
     gain[seen[0] + seen[1] < 2] = 0
-    chosen = np.sort(np.argsort(-gain, kind="stable")[:features]).astype(np.int32)
+    # few labelled rows can't tell many buckets apart
+    bound = min(features, max(32, int(len(toxic) * per_row)))
+    chosen = np.sort(np.argsort(-gain, kind="stable")[:bound]).astype(np.int32)
     chosen = chosen[gain[chosen] > 0]
     wanted = np.full(BUCKETS, -1, dtype=np.int64)
     wanted[chosen] = np.arange(len(chosen))

@@ -193,7 +193,7 @@ def warc_record(kind: str, page_id: int | None, url: str, digest: str, payload:
         ("WARC-Type", kind),
         ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {digest} {kind}')}>"),
         ("WARC-Date", WARC_DATE),
-        ("WARC-Target-URI", quote(url, safe="/:?#[]@!$&'()*+,;=%")),
+        ("WARC-Target-URI", quote(url, safe="/:?#[]@!$&'()*+,;=")),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("Content-Type", "application/http; msgtype=response"),
         ("Page-ID", "" if page_id is None else str(page_id)),
