@@ -34,10 +34,10 @@ nodes_emitted: 2
 files_seen: 3
 
 node_id: node-a
-current_boot_id: boot-x
+current_boot_id: run-3
 latest_health: UNHEALTHY
 latest_seq: 1
-latest_emitted_at: 2026-01-01T00:00:01+00:00
+latest_emitted_at: 2031-07-09T04:00:01+00:00
 degraded_count_tail: 0 / 1
 unhealthy_count_tail: 1 / 1
 top_reasons_tail: signal:cpu_critical:1, signal:disk_free_low:1
@@ -51,7 +51,7 @@ node_id: node-b
 current_boot_id: unknown
 latest_health: OK
 latest_seq: 0
-latest_emitted_at: 2026-01-01T00:00:00+00:00
+latest_emitted_at: 2031-07-09T04:00:00+00:00
 degraded_count_tail: 0 / 1
 unhealthy_count_tail: 0 / 1
 top_reasons_tail: tag:1
@@ -68,8 +68,8 @@ def test_pretty(spark):
 NODE node-a
 -----------
 Health: UNHEALTHY
-Seq: 1   Boot: boot-x
-Emitted: 2026-01-01T00:00:01+00:00
+Seq: 1   Boot: run-3
+Emitted: 2031-07-09T04:00:01+00:00
 
 CPU load (1m/5m/15m): 20.00 / n/a / n/a
 Disk free: 6.0 GB
@@ -83,7 +83,7 @@ NODE node-b
 -----------
 Health: OK
 Seq: unknown   Boot: unknown
-Emitted: 2026-01-01T00:00:00+00:00
+Emitted: 2031-07-09T04:00:00+00:00
 
 CPU load (1m/5m/15m): n/a / n/a / n/a
 Disk free: n/a

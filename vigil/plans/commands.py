@@ -46,7 +46,7 @@ def status_lines(reports: DataFrame, fmt: str = "text") -> DataFrame:
             F.lit(" health="),
             "health",
             F.lit(" seq="),
-            F.col("seq").cast("string"),
+            F.coalesce("seq_text" if "seq_text" in reports.columns else F.col("seq").cast("string"), F.lit("unknown")),
             F.lit(" emitted_at="),
             "emitted_at",
             F.lit(" reasons="),
@@ -61,7 +61,9 @@ def last_valid_reports(parsed: DataFrame) -> DataFrame:
     """The last report of each file that has node, health, seq and time."""
     needed = ("assessment", "identity", "timing")
     complete = with_sections(parsed, only=needed).filter(has_status_fields())
-    valid = spool.reports_of(complete.select(*parsed.columns))
+    # seq as it stands in the line, which may be no whole number
+    seq_text = F.expr("cast(_timing.seq AS string)").alias("seq_text")
+    valid = spool.reports_of(complete.select(*parsed.columns, seq_text))
     whole = [c for c in valid.columns if c != "file_path"]
     last = valid.groupBy("file_path").agg(
         F.max_by(F.struct(*whole), F.struct(*spool.LINE_ORDER)).alias("last")

@@ -23,6 +23,18 @@ def _missing(error: AnalysisException) -> bool:
     return error.getCondition() == "PATH_NOT_FOUND"
 
 
+def _present(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """The paths (or path patterns) that match anything."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    settings = spark._jsparkSession.sessionState().newHadoopConf()
+    found = []
+    for path in paths:
+        place = hadoop.Path(path)
+        if place.getFileSystem(settings).globStatus(place):
+            found.append(path)
+    return found
+
+
 def read_lines(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -31,22 +43,21 @@ def read_lines(
 ) -> DataFrame:
     """Physical lines of one or many spools with their position.
 
-    A missing path gives an empty table, or ``FileNotFoundError`` with
-    ``on_missing="error"``.
+    Missing paths are left out, or all named in a ``FileNotFoundError`` with
+    ``on_missing="error"``; with no path left the table is empty.
     """
     if on_missing not in ("empty", "error"):
         raise ValueError("on_missing must be 'empty' or 'error'")
     reader = spark.read
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
-    try:
-        raw = reader.text(paths if isinstance(paths, str) else list(paths))
-    except AnalysisException as error:
-        if not _missing(error):
-            raise
-        if on_missing == "error":
-            raise FileNotFoundError(f"spool not found: {paths}") from error
+    wanted = [paths] if isinstance(paths, str) else list(paths)
+    there = _present(spark, wanted)
+    if on_missing == "error" and len(there) < len(wanted):
+        raise FileNotFoundError(f"spool not found: {', '.join(p for p in wanted if p not in there)}")
+    if not there:
         return spark.createDataFrame([], LINES_SCHEMA)
+    raw = reader.text(there)
     # line_id must come straight from the scan: it follows the order of lines in a block
     return raw.select(
         F.col("_metadata.file_path").alias("file_path"),
@@ -60,9 +71,7 @@ def block_group(lines: DataFrame) -> Column:
     """Neighbouring blocks of a file, so that a huge file is cut in many tasks."""
     spark = lines.sparkSession
     block = spark.conf.get("spark.sql.files.maxPartitionBytes", "128m")
-    size = block.lower().rstrip("b")
-    unit = {"k": 2**10, "m": 2**20, "g": 2**30}.get(size[-1:], 1)
-    width = int(size.rstrip("kmg")) * unit * BLOCKS_PER_GROUP
+    width = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(block) * BLOCKS_PER_GROUP
     return F.floor(F.col("block_start") / F.lit(width))
 
 

@@ -7,25 +7,17 @@ text that counts only if it can be read as the key's type.
 
 from __future__ import annotations
 
-import hashlib
-import json
-from collections.abc import Mapping
-from typing import Any
-
 from pyspark.sql import DataFrame, functions as F
 
 from vigil.functions.health import DEFAULT_THRESHOLDS
 
-# Settings by section, with their default as JSON text.
+# settings by section, with their default as JSON text
 DEFAULT_SETTINGS = {
-    ("cpu", "degraded_factor"): "0.85",
-    ("cpu", "unhealthy_factor"): "1.25",
-    ("disk", "degraded_pct"): "10.0",
-    ("disk", "unhealthy_pct"): "5.0",
+    **{tuple(name.split("_", 1)): repr(value) for name, value in DEFAULT_THRESHOLDS.items()},
     ("evaluation", "profile_name"): '"default"',
-    ("mem", "degraded_pct"): "15.0",
-    ("mem", "unhealthy_pct"): "8.0",
 }
+# a number as text; Spark's cast would take type suffixes too
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 SECTIONS = ["cpu", "disk", "evaluation", "mem"]
 
 
@@ -62,7 +54,7 @@ def resolve_layers(layers: DataFrame) -> DataFrame:
     given = given.filter((F.col("layer") == "file") | ((F.col("layer") == "env") & known_env))
     name = F.col("section") == "evaluation"
     env_value = F.when(name, _quoted(F.col("value"))).otherwise(
-        F.col("value").try_cast("double").cast("string")
+        F.when(F.col("value").rlike(NUMBER), F.col("value").try_cast("double").cast("string"))
     )
     text = F.when(F.col("layer") == "env", env_value).otherwise(F.col("value"))
     rank = F.when(F.col("layer") == "env", 2).when(F.col("layer") == "file", 1).otherwise(0)
@@ -112,16 +104,3 @@ def thresholds_table(resolved: DataFrame) -> DataFrame:
     document = F.concat(F.lit("{"), sections, F.lit("}"))
     digest = F.substring(F.sha2(document, 256), 1, 16)
     return wide.withColumn("thresholds_hash", digest).drop("entries")
-
-
-def config_hash(settings: Mapping[str, Mapping[str, Any]] | None = None) -> str:
-    """Hash of a single configuration, settings merged over the defaults."""
-    merged: dict[str, dict[str, Any]] = {section: {} for section in SECTIONS}
-    for (section, key), text in DEFAULT_SETTINGS.items():
-        merged[section][key] = json.loads(text)
-    for section in SECTIONS:
-        given = (settings or {}).get(section)
-        if isinstance(given, Mapping):
-            merged[section].update(given)
-    text = json.dumps(merged, sort_keys=True, separators=(",", ":"))
-    return hashlib.sha256(text.encode()).hexdigest()[:16]
