@@ -154,17 +154,17 @@ class Join:
     def labelled(self) -> DataFrame:
         return self.postings.join(self.labels, "uid")
 
-    def counted(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) with enough agreements and sizes that allow the threshold."""
+    def counted(self, pairs: DataFrame, percent: int, matches: int) -> DataFrame:
+        """Pairs (a, b) with enough agreements and sizes that allow a similarity of ``percent``."""
         a = self.reps.select(F.col("uid").alias("a"), F.col("n_shingles").alias("n_a"), F.col("signature").alias("s_a"))
         b = self.reps.select(F.col("uid").alias("b"), F.col("n_shingles").alias("n_b"), F.col("signature").alias("s_b"))
         small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
         return (
             pairs.join(a, "a")
             .join(b, "b")
-            .where(small * 100 >= large * self.percent)
+            .where(small * 100 >= large * percent)
             .withColumn("agreements", agreements("s_a", "s_b"))
-            .where(F.col("agreements") >= self.matches)
+            .where(F.col("agreements") >= matches)
             .select("a", "b", "n_a", "n_b", "agreements")
         )
 
@@ -196,7 +196,7 @@ class Join:
         pairs = rows.join(several, "posting").where("label != pivot_label")
         pairs = pairs.select(F.col("uid").alias("a"), F.col("pivot").alias("b")).distinct()
         best = Window.partitionBy("a").orderBy(F.desc("agreements"), "b")
-        self.confirm(self.counted(pairs).withColumn("place", F.row_number().over(best)).where("place = 1").drop("place"))
+        self.confirm(self.counted(pairs, self.percent, self.matches).withColumn("place", F.row_number().over(best)).where("place = 1").drop("place"))
 
     def told_by_hubs(self, pairs: DataFrame) -> DataFrame:
         """(uid, hub, apart, shared): how a document differs from a hub that it resembles.
@@ -206,7 +206,8 @@ class Join:
         apart_a + apart_b - 2 * (what sets both apart), and the latter is ``shared`` of either at most. So a lower
         bound for their difference follows without looking at the pair.
         """
-        pairs = common.settle(self.counted(pairs).select("a", "b"), "resembling")
+        # the bound holds for any document; far ones have long differences and are left untold
+        pairs = common.settle(self.counted(pairs, self.percent // 2, self.matches // 2).select("a", "b"), "resembling")
         sets = self.full_sets(pairs)
         x, y = sets.select(F.col("uid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("uid").alias("b"), F.col("shingles").alias("y"))
         differ = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
