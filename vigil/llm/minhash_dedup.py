@@ -237,8 +237,9 @@ class Join:
         hubs = met.where("label = most").groupBy("posting").agg(F.min("uid").alias("hub"))
         met = met.join(common.settle(hubs, "hubs"), "posting")
         told = self.told_by_hubs(met.where("uid != hub").select(F.col("uid").alias("a"), F.col("hub").alias("b")).distinct())
-        met = common.settle(met.join(told, ["uid", "hub"], "left").drop("hub"), "met")
-        names = ("uid", "label", "n_shingles", "signature", "apart", "shared")
+        held = self.postings.groupBy("uid").agg(F.collect_list("posting").alias("postings"))
+        met = common.settle(met.join(told, ["uid", "hub"], "left").drop("hub").join(held, "uid"), "met")
+        names = ("uid", "label", "n_shingles", "signature", "apart", "shared", "postings")
         a = met.where("label != most").select("posting", *(F.col(c).alias(f"{c}_a") for c in names))
         b = met.select("posting", "most", *(F.col(c).alias(f"{c}_b") for c in names))
         excess = F.col("apart_a") + F.col("apart_b") - 2 * F.least("shared_a", "shared_b")
@@ -251,11 +252,13 @@ class Join:
             & (small * 100 >= large * self.percent)
             & near
             & (agreements("signature_a", "signature_b") >= self.matches)
+            # a pair counts under the first posting that both have
+            & (F.array_min(F.array_intersect("postings_a", "postings_b")) == a["posting"])
         )
         pairs = a.join(b, meet).select(
             F.col("uid_a").alias("a"), F.col("uid_b").alias("b"), F.col("n_shingles_a").alias("n_a"), F.col("n_shingles_b").alias("n_b")
         )
-        self.confirm(pairs.distinct())
+        self.confirm(pairs)
 
 
 def cluster(docs: DataFrame, *, width: int = 3, percent: int = 85, coordinates: int = 24, loss: float = 1e-6, rounds: int = 3) -> DataFrame:
