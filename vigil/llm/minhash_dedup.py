@@ -108,17 +108,18 @@ def signer(width: int, coordinates: int):
     return sign
 
 
-def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
-    """(uid, shingles): the whole distinct set of each text as 64-bit hashes."""
-    schema = pa.schema([("uid", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+def shingle_sets(texts: DataFrame, width: int, name: str) -> DataFrame:
+    """``texts`` with its whole distinct shingle set, as 64-bit hashes, in place of the text; all else is of type long."""
+    others = [c for c in texts.columns if c != "text"]
+    schema = pa.schema([*((c, pa.int64()) for c in others), (name, pa.list_(pa.int64()))])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.batches_of(batches):
             hashes, bounds = shingles(common.texts_of(batch), width)
             lists = pa.ListArray.from_arrays(bounds.astype(np.int32), hashes.view(np.int64))
-            yield common.pack(schema, batch.column(batch.schema.get_field_index("uid")), lists)
+            yield common.pack(schema, *(batch.column(batch.schema.get_field_index(c)) for c in others), lists)
 
-    return texts.mapInArrow(listed, "uid long, shingles array<long>")
+    return texts.mapInArrow(listed, ", ".join([*(f"{c} long" for c in others), f"{name} array<long>"]))
 
 
 def agreements(a: str, b: str) -> Column:
@@ -149,7 +150,8 @@ class Join:
         postings = first
         self.postings = common.settle(postings.join(shared, "posting", "left_semi"), "postings")
         self.labels = common.settle(self.postings.select("uid").distinct().withColumn("label", F.col("uid")), "labels")
-        self.texts, self.width = texts, width
+        # only these documents can be in a pair; one row per uid
+        self.texts, self.width = common.settle(texts.join(self.labels, "uid", "left_semi"), "texts"), width
 
     def labelled(self) -> DataFrame:
         return self.postings.join(self.labels, "uid")
@@ -173,11 +175,9 @@ class Join:
         pairs = common.settle(pairs, "pairs")
         if pairs.isEmpty():
             return
-        sets = self.full_sets(pairs)
-        a = sets.select(F.col("uid").alias("a"), F.col("shingles").alias("x"))
-        b = sets.select(F.col("uid").alias("b"), F.col("shingles").alias("y"))
         shared = F.size(F.array_intersect("x", "y"))
-        links = pairs.join(a, "a").join(b, "b").where(over(self.percent, F.col("n_a"), F.col("n_b"), shared)).select("a", "b")
+        both = self.with_sets(pairs.select("a", "b", "n_a", "n_b"))
+        links = both.where(over(self.percent, F.col("n_a"), F.col("n_b"), shared)).select("a", "b")
         label = self.labels.select(F.col("uid").alias("a"), F.col("label").alias("l_a"))
         other = self.labels.select(F.col("uid").alias("b"), F.col("label").alias("l_b"))
         edges = links.join(label, "a").join(other, "b").select(F.col("l_a").alias("a"), F.col("l_b").alias("b"))
@@ -208,21 +208,22 @@ class Join:
         """
         # the bound holds for any document; far ones have long differences and are left untold
         pairs = common.settle(self.counted(pairs, self.percent // 2, self.matches // 2).select("a", "b"), "resembling")
-        sets = self.full_sets(pairs)
-        x, y = sets.select(F.col("uid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("uid").alias("b"), F.col("shingles").alias("y"))
         differ = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
-        marks = pairs.join(x, "a").join(y, "b").select(F.col("a").alias("uid"), F.col("b").alias("hub"), F.explode_outer(differ).alias("shingle"))
+        marks = self.with_sets(pairs).select(F.col("a").alias("uid"), F.col("b").alias("hub"), F.explode_outer(differ).alias("shingle"))
         marks = common.settle(marks, "marks")
         often = marks.where("shingle is not null").groupBy("hub", "shingle").agg(F.count("*").alias("n")).where("n > 1")
         often = common.settle(often.select("hub", "shingle", F.lit(1).alias("one")), "often")
         told = marks.join(often, ["hub", "shingle"], "left").groupBy("uid", "hub")
         return common.settle(told.agg(F.count("shingle").alias("apart"), F.count("one").alias("shared")), "told")
 
-    def full_sets(self, pairs: DataFrame) -> DataFrame:
-        """(uid, shingles) of every document in ``pairs``."""
-        wanted = common.settle(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct(), "wanted")
-        texts = self.texts.join(wanted, "uid", "left_semi").dropDuplicates(["uid"])
-        return common.settle(shingle_sets(texts, self.width), "sets")
+    def with_sets(self, pairs: DataFrame) -> DataFrame:
+        """``pairs`` with the sets x of a and y of b.
+
+        The set of a is made where its text meets the pair, so it is shuffled once, to its b; no set is written.
+        """
+        x = shingle_sets(pairs.join(self.texts.select(F.col("uid").alias("a"), "text"), "a"), self.width, "x")
+        others = self.texts.select(F.col("uid").alias("b"), "text").join(pairs.select("b").distinct(), "b", "left_semi")
+        return x.join(shingle_sets(others, self.width, "y"), "b")
 
     def across_labels(self) -> None:
         """All pairs of different labels under a posting, those of its largest label aside."""
@@ -271,7 +272,8 @@ def cluster(docs: DataFrame, *, width: int = 3, percent: int = 85, coordinates:
     members = common.settle(full.join(classes, key).select("uid", "rep", "n_shingles", "signature"), "members")
     reps = members.where("uid = rep").select("uid", "n_shingles", "signature").dropDuplicates(["uid"])
     reps = common.settle(reps, "reps")
-    state = Join(reps, texts, width, percent, coordinates, loss)
+    single = texts.dropDuplicates(["uid"]) if repeats.ids_repeat(docs) else texts
+    state = Join(reps, single.select("uid", "text"), width, percent, coordinates, loss)
     for salt in range(rounds):
         state.pivot_round(salt)
     state.across_labels()
