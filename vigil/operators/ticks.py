@@ -65,7 +65,9 @@ def tick_rollup(ticks: DataFrame, window: str = "1 day", keys: Sequence[str] = (
             F.count(F.lit(1)).alias("ticks"),
             F.count_if("overrun").alias("overruns"),
             F.avg(ms).alias("mean_tick_ms"),
-            F.percentile_approx(ms, F.array(F.lit(0.5), F.lit(0.95)), F.lit(10_000)).alias("p"),
+            # exact: counts per distinct duration are merged
+            F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY tick_elapsed_ms)").alias("p50"),
+            F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY tick_elapsed_ms)").alias("p95"),
             F.max(ms).alias("max_tick_ms"),
             F.max("sleep_drift_ms").alias("max_drift_ms"),
         )
@@ -77,8 +79,8 @@ def tick_rollup(ticks: DataFrame, window: str = "1 day", keys: Sequence[str] = (
             "overruns",
             (F.col("overruns") / F.col("ticks")).alias("overrun_rate"),
             "mean_tick_ms",
-            F.col("p")[0].alias("p50_tick_ms"),
-            F.col("p")[1].alias("p95_tick_ms"),
+            F.col("p50").cast("bigint").alias("p50_tick_ms"),
+            F.col("p95").cast("bigint").alias("p95_tick_ms"),
             "max_tick_ms",
             "max_drift_ms",
         )
