@@ -159,6 +159,37 @@ def test_class_scores_are_probabilities():
     assert fit(late) > fit(early)
 
 
+def test_language_model_tells_all_words_apart(spark):
+    draw = random.Random(5)
+    follows = {k: [draw.randrange(150) for _ in range(3)] for k in range(150)}
+    rows = []
+    for i in range(160):
+        words = [draw.randrange(150)]
+        while len(words) < 40:
+            words.append(draw.choice(follows[words[-1]]))
+        rows.append((i, " ".join(f"w{w}" for w in words)))
+    usual = next(t for i, t in rows if zlib.crc32(str(i).encode()) % 7 == 2)
+    spare = [i for i in range(200, 300) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows += [(spare[0], usual), (spare[1], " ".join(reversed(usual.split()))), (spare[2], "new w1 w2 words"), (spare[3], "")]
+    found = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert found[spare[0]].score > found[spare[1]].score + 10
+    # the counts of the whole vocabulary in one array: 0 is for unseen words, the last class for the start
+    folds = {i: zlib.crc32(str(i).encode()) % 7 for i, _ in rows}
+    seen = sorted({w for i, t in rows if folds[i] != 2 for w in t.split()}) + [None]
+    width = len(seen) + 2
+    assert width > 127
+    place = {w: k for k, w in enumerate(seen, 1)}
+    counts, trigrams = np.zeros((2, width, width, width), dtype=np.int64), {}
+    for i, text in rows:
+        own = [width - 1, width - 1, *(place.get(w, 0) for w in [*text.split(), None])]
+        trigrams[i] = list(zip(own, own[1:], own[2:], strict=False))
+        for gram in trigrams[i] if folds[i] != 2 else ():
+            counts[int(folds[i] == 3)][gram] += 1
+    scores = lm_scoring.class_scores(*counts, 20).reshape(width, width, width)
+    for i, own in trigrams.items():
+        assert found[i].score == pytest.approx(sum(scores[g] for g in own), rel=1e-9)
+
+
 def test_bpe_equals_the_library(monkeypatch):
     own, library = bpe.Codec(VOCABULARY), Tokenizer.from_file(VOCABULARY)
     draw = random.Random(6)

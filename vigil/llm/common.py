@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +17,7 @@ from vigil.session import fresh_folder, settle
 __all__ = [
     "NO_ID",
     "batches_of",
+    "collect_garbage",
     "doc_key",
     "fold",
     "fresh_folder",
@@ -80,6 +83,14 @@ def batches_of(batches: Iterator[pa.RecordBatch], limit: int = 256 << 10, name:
             at = to
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that nothing refers to any more."""
+    for _ in range(2):  # what the first round lets go of, the second can collect
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def pack(schema: pa.Schema, *columns) -> pa.RecordBatch:
     """A batch from numpy arrays or lists in the order of ``schema``."""
     arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)]
