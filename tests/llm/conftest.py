@@ -5,12 +5,16 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+SPLITS = "spark.sql.files.maxPartitionBytes"
 
-@pytest.fixture(scope="session", autouse=True)
-def _workers_find_the_package(spark):
+
+@pytest.fixture(autouse=True)
+def _larger_splits(spark):
+    """Workers find the package, and tables here are read in few splits; tests elsewhere keep their own setting."""
     from vigil.llm.queries import importable
 
     importable(spark)
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    before = spark.conf.get(SPLITS)
+    spark.conf.set(SPLITS, "1m")
     yield
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    spark.conf.set(SPLITS, before)

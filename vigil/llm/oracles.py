@@ -70,6 +70,26 @@ MERKLE = f"""
     FROM t
     """
 
+NEGATIVES = """
+    WITH v AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+      FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+                 list_inner_product(a.v, b.v)::BIGINT AS score
+          FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+    n AS (SELECT anchor_id, positive_id, other AS negative_id, positive_score, score AS negative_score,
+                 row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS place
+          FROM p JOIN s USING (anchor_id)
+          WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+    SELECT anchor_id, positive_id, place::INTEGER AS rank, negative_id, positive_score, negative_score
+    FROM n WHERE place <= 10
+    """
+
 
 def all_sql() -> dict[str, str]:
-    return {"op2_licenses": _licenses(), "op3_warc": WARC, "op4_merkle": MERKLE}
+    return {"op2_licenses": _licenses(), "op3_warc": WARC, "op4_merkle": MERKLE, "op12_negatives": NEGATIVES}

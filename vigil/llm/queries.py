@@ -13,12 +13,15 @@ from vigil.llm import (
     bpe,
     common,
     decontaminate,
+    hard_negatives,
     licenses,
     lm_scoring,
     merkle,
     minhash_dedup,
+    piece_spans,
     substring_dedup,
     suffix_dedup,
+    token_alignment,
     toxicity,
     warc,
 )
@@ -118,3 +121,30 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 100-byte strings that start earlier."""
     return suffix_dedup.deduplicate(common.read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's pieces, of their source spans, and of the text decoded."""
+    import public_tokenizers
+
+    docs = common.read_table(spark, sf_dir, "documents")
+    return piece_spans.digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; the label of every seventh is moved on by one."""
+    rows = common.read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = rows.select(F.col("vec_id").alias("id"), label.alias("label"), hard_negatives.integers(F.col("embedding"), 256).alias("v"))
+    return hard_negatives.mine(vectors, F.col("id") % 100 == 0)
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers over every document, with corpus-wide counts of linked ids."""
+    import public_tokenizers
+
+    paths = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return token_alignment.summaries(common.read_table(spark, sf_dir, "documents"), *paths)
