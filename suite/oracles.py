@@ -375,16 +375,26 @@ SELECT count(*) AS distinct_hashes, CAST(sum(nodes) AS BIGINT) AS nodes_with_has
 
 # --- lines, parsing and validation ---------------------------------------
 
-REPORT_JSON = """
-'{"assessment":{"health":"' || health || '","reasons":[' ||
+def shortest(x: str) -> str:
+    """A double as JSON text: below 0.001 with an exponent, as Java writes it."""
+    return f"""CASE WHEN {x} = 0 OR abs({x}) >= 0.001 THEN CAST({x} AS VARCHAR)
+        WHEN {x} >= 0.0001 THEN substr(CAST({x} AS VARCHAR), 6, 1) || '.' ||
+            coalesce(nullif(substr(CAST({x} AS VARCHAR), 7), ''), '0') || 'E-4'
+        ELSE regexp_replace(split_part(CAST({x} AS VARCHAR), 'e', 1), '^(\\d+)$', '\\1.0') || 'E' ||
+            CAST(split_part(CAST({x} AS VARCHAR), 'e', 2) AS INTEGER) END"""
+
+
+REPORT_JSON = f"""
+'{{"assessment":{{"health":"' || health || '","reasons":[' ||
     array_to_string(list_transform(reasons, lambda x: '"' || x || '"'), ',') ||
-    ']},"identity":{"boot_id":"' || boot_id || '","node_id":"' || node_id ||
-    '"},"meta":{"agent_version":"0.1.0","schema_version":"1","threshold_profile":"default",' ||
-    '"thresholds_hash":""},"signals":{"cpu_count_logical":8,"disk_free_bytes":' || disk_free ||
+    ']}},"identity":{{"boot_id":"' || boot_id || '","node_id":"' || node_id ||
+    '"}},"meta":{{"agent_version":"0.1.0","schema_version":"1","threshold_profile":"default",' ||
+    '"thresholds_hash":""}},"signals":{{"cpu_count_logical":8,"disk_free_bytes":' || disk_free ||
     ',"disk_total_bytes":' || disk_total || CASE WHEN beat_ok THEN ',"heartbeat_ok":true' ELSE '' END ||
-    CASE WHEN cpu_ok THEN ',"loadavg_1m":' || CAST(load1 AS VARCHAR) ELSE '' END ||
+    CASE WHEN cpu_ok THEN ',"loadavg_15m":' || {shortest("load15")} || ',"loadavg_1m":' || {shortest("load1")} ||
+        ',"loadavg_5m":' || {shortest("load5")} ELSE '' END ||
     ',"mem_available_bytes":' || mem_avail || ',"mem_total_bytes":' || mem_total ||
-    '},"timing":{"emitted_at":"' || emitted_at || '","seq":' || seq || '}}'"""
+    '}},"timing":{{"emitted_at":"' || emitted_at || '","seq":' || seq || '}}}}'"""
 
 SQL["report_json_lines"] = f"{BASE}\nSELECT event_id, {REPORT_JSON} AS line FROM r"
 
@@ -402,9 +412,13 @@ parsed AS (
         CASE WHEN fault = 9 THEN NULL ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END AS emitted_ts,
         CASE WHEN fault = 7 THEN 0 WHEN fault = 16 THEN 3 ELSE seq END AS seq,
         CASE WHEN fault = 7 THEN '0' WHEN fault = 16 THEN '3.9' ELSE CAST(seq AS VARCHAR) END AS seq_text,
+        CASE WHEN fault = 7 THEN '0' WHEN fault = 16 THEN '3.9' WHEN fault = 5 THEN '"' || seq || '"'
+            ELSE CAST(seq AS VARCHAR) END AS seq_json,
         CASE WHEN fault = 4 THEN NULL WHEN fault IN (10, 13) THEN '2' ELSE '1' END AS schema_version,
         CASE WHEN fault IN (4, 12) OR NOT beat_ok THEN NULL ELSE true END AS heartbeat_ok,
         CASE WHEN fault IN (4, 12) THEN NULL ELSE load1 END AS load1,
+        CASE WHEN fault IN (4, 12) THEN NULL ELSE load5 END AS load5,
+        CASE WHEN fault IN (4, 12) THEN NULL ELSE load15 END AS load15,
         CASE WHEN fault IN (4, 12) THEN NULL ELSE mem_avail END AS mem_avail,
         mem_total, CASE WHEN fault IN (4, 12, 17) THEN NULL ELSE disk_free END AS disk_free, disk_total
     FROM lines WHERE NOT unparsed
@@ -413,7 +427,8 @@ PARSED = f"{BASE},{LINES}\n"
 
 SQL["parse_lines"] = f"""{PARSED}
 SELECT event_id, node_id, health, {REASONS}, emitted_at, emitted_ts, seq, schema_version,
-    heartbeat_ok, mem_avail AS mem_available_bytes, disk_free AS disk_free_bytes FROM parsed"""
+    heartbeat_ok, load1 AS loadavg_1m, load5 AS loadavg_5m, load15 AS loadavg_15m,
+    mem_avail AS mem_available_bytes, disk_free AS disk_free_bytes FROM parsed"""
 SQL["invalid_counts"] = f"""{PARSED}
 SELECT node_id AS file_path, count(*) AS lines, count(*) FILTER (WHERE NOT unparsed) AS reports_parsed,
     count(*) FILTER (WHERE fault IN (2, 3, 14)) AS reports_invalid FROM lines GROUP BY node_id"""
@@ -424,7 +439,7 @@ complete AS (
     WHERE fault NOT IN (8, 13)
 )"""
 SQL["last_valid_report"] = f"""{LAST_VALID}
-SELECT spool AS file_path, 'node_id=' || node_id || ' health=' || health || ' seq=' || seq ||
+SELECT spool AS file_path, 'node_id=' || node_id || ' health=' || health || ' seq=' || seq_text ||
     ' emitted_at=' || emitted_at || ' reasons=' ||
     CASE WHEN len(reasons) = 0 THEN 'none' ELSE array_to_string(reasons, ',') END AS status
 FROM complete WHERE place = 1"""
@@ -432,7 +447,7 @@ SQL["status_json"] = f"""{LAST_VALID}
 SELECT spool AS file_path, '{{"emitted_at":"' || emitted_at || '","health":"' || health ||
     '","node_id":"' || node_id || '","reasons":[' ||
     array_to_string(list_transform(reasons, lambda x: '"' || x || '"'), ',') ||
-    '],"seq":' || seq || '}}' AS status
+    '],"seq":' || seq_json || '}}' AS status
 FROM complete WHERE place = 1"""
 SQL["valid_report_fields"] = f"""{PARSED}
 SELECT event_id, NOT unparsed AND fault NOT IN (8, 13) AS complete FROM lines"""
@@ -721,10 +736,13 @@ SQL["spool_read"] = f"""{PARSED}
 SELECT node_id, health, count(*) AS reports, CAST(sum(mem_avail) AS BIGINT) AS memory
 FROM parsed GROUP BY node_id, health"""
 
-SQL["spool_summary"] = f"""{PARSED},
+def spooled(rows: str, arrival: str, more: str = "") -> str:
+    """Summary per node of the parsed lines in ``rows``, which arrived in the given order."""
+    return f"""{PARSED},
+{rows}
 spooled AS (
     SELECT * REPLACE (coalesce(health, 'unknown') AS health),
-        row_number() OVER (ORDER BY spool, event_id) AS arrived FROM parsed
+        row_number() OVER (ORDER BY {arrival}) AS arrived FROM chosen
 ),
 moves AS (
     SELECT node_id, CAST(sum(CASE WHEN before <> health THEN 1 ELSE 0 END) AS BIGINT) AS moves FROM (
@@ -737,9 +755,72 @@ SELECT node_id, count(*) AS reports_seen_tail,
     any_value(moves) AS health_transitions_tail, max(emitted_at) AS latest_emitted_at,
     CAST(printf('%.2f', max(load1)) AS DOUBLE) AS max_cpu1_tail,
     CAST(printf('%.2f', min(mem_avail / mem_total * 1e2)) AS DOUBLE) AS min_mem_available_pct_tail,
-    CAST(printf('%.2f', min(disk_free / disk_total * 1e2)) AS DOUBLE) AS min_disk_free_pct_tail
+    CAST(printf('%.2f', min(disk_free / disk_total * 1e2)) AS DOUBLE) AS min_disk_free_pct_tail{more}
 FROM spooled JOIN moves USING (node_id) GROUP BY node_id"""
 
+
+def last_lines(n: int) -> str:
+    """The last ``n`` physical lines of every spool, and the parsed ones of them."""
+    return f"""
+ends AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY event_id DESC) AS back FROM lines)
+    WHERE back <= {n}
+),
+chosen AS (SELECT parsed.* FROM parsed JOIN ends USING (event_id)),"""
+
+
+SQL["spool_summary"] = spooled("chosen AS (SELECT * FROM parsed),", "spool, event_id")
+SQL["spool_tail_summary"] = spooled(
+    last_lines(50),
+    "spool, event_id",
+    """, 50 AS tail_n, (SELECT count(DISTINCT node_id) FROM lines) AS files_seen,
+    (SELECT count(DISTINCT node_id) FROM chosen) AS nodes_seen_tail,
+    (SELECT count(DISTINCT node_id) FROM chosen) AS nodes_emitted,
+    (SELECT count(*) FROM chosen) AS reports_parsed,
+    (SELECT count(*) FROM ends WHERE fault IN (2, 3, 14)) AS reports_invalid,
+    (SELECT count(*) FROM ends WHERE fault IN (2, 3, 14)) AS reports_invalid_total""",
+)
+SQL["spool_appends"] = spooled(
+    "chosen AS (SELECT * FROM parsed),",
+    "list_position([2, 0, 3, 1], event_id % 4), event_id",
+    ", max_by(seq, arrived) AS last_seq, max_by(health, arrived) AS last_health",
+)
+SQL["stream_growing_spool"] = spooled(
+    """chosen AS (
+    SELECT * FROM parsed QUALIFY row_number() OVER (PARTITION BY spool ORDER BY event_id DESC) <= 200
+),""",
+    "spool, event_id",
+)
+
+# the text of every line, damage included
+DAMAGED = f"""
+whole AS (SELECT *, {REPORT_JSON} AS json FROM r),
+written AS (
+    SELECT event_id, node_id AS spool, CASE event_id % 40
+        WHEN 1 THEN ' '
+        WHEN 2 THEN left(json, length(json) - 3)
+        WHEN 3 THEN '[1,2]'
+        WHEN 4 THEN regexp_replace(json, ',"meta":.*,"timing"', ',"timing"')
+        WHEN 5 THEN regexp_replace(json, '"seq":([0-9]+)', '"seq":"\\1"')
+        WHEN 6 THEN regexp_replace(json, '"health":"[A-Z]+"', '"health":"BROKEN"')
+        WHEN 7 THEN regexp_replace(json, '"seq":[0-9]+', '"seq":0')
+        WHEN 8 THEN regexp_replace(json, '"node_id":"[^"]*"', '"node_id":""')
+        WHEN 9 THEN regexp_replace(json, '"emitted_at":"[^"]*"', '"emitted_at":"yesterday"')
+        WHEN 10 THEN replace(json, '"schema_version":"1"', '"schema_version":2')
+        WHEN 11 THEN regexp_replace(json, '"reasons":\\[[^]]*\\]', '"reasons":"none"')
+        WHEN 12 THEN regexp_replace(json, '"signals":\\{{[^}}]*\\}}', '"signals":[]')
+        WHEN 13 THEN regexp_replace(replace(json, '"schema_version":"1"', '"schema_version":"2"'),
+            '"health":"[A-Z]+"', '"health":null')
+        WHEN 14 THEN json || ' x'
+        WHEN 15 THEN '  ' || json || ' '
+        WHEN 16 THEN regexp_replace(json, '"seq":[0-9]+', '"seq":3.9')
+        WHEN 17 THEN regexp_replace(json, '"disk_free_bytes":([0-9]+)', '"disk_free_bytes":"\\1"')
+        ELSE json END AS line FROM whole
+)"""
+SQL["tail_ranges"] = f"""{BASE},{DAMAGED}
+SELECT spool, md5(line) AS line_md5 FROM written
+QUALIFY row_number() OVER (PARTITION BY spool ORDER BY event_id DESC) <= 100"""
+
 SQL["stream_evaluate"] = SQL["health_verdict"]
 SQL["stream_sink"] = f"{BASE}\nSELECT event_id, node_id, health FROM r"
 SQL["stream_reports"] = f"""{PARSED}

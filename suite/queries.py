@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from vigil.functions import text as texts
 from vigil.functions.health import (
@@ -30,8 +30,8 @@ from vigil.operators import (
 from vigil.operators.tail import tail_rows
 from vigil.plans import commands, event_reports as er, render
 from vigil.session import fresh_folder, settle
-from vigil.sources import event_log, spool, thresholds
-from vigil.streaming import sources as live, stateful, windows
+from vigil.sources import appends, event_log, ranges, spool, thresholds
+from vigil.streaming import growing, sources as live, stateful, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -39,6 +39,8 @@ REGISTRY: dict[str, Query] = {}
 ARRIVAL = list(er.ARRIVAL)
 ORDER = ["event_id"]
 TAIL = 200
+# the quarters of the events in the order in which they are appended
+APPENDED = (2, 0, 3, 1)
 COMPUTED_AT = "2026-01-01T00:00:00+00:00"
 STRICT = {"cpu_degraded_factor": 0.5, "mem_degraded_pct": 25.0, "disk_unhealthy_pct": 8.0}
 
@@ -369,9 +371,8 @@ def mixed_thresholds(spark, sf):
 
 def report_lines(spark, sf) -> DataFrame:
     """One JSON line per report; some are damaged by the rule in ``fault``."""
-    narrow = er.reports(spark, sf).drop("loadavg_5m", "loadavg_15m")
     lines = once(
-        assemble(narrow).withColumn("fault", F.col("event_id") % 40),
+        assemble(er.reports(spark, sf)).withColumn("fault", F.col("event_id") % 40),
         json=report_json(F.col("report")),
         short=report_json(F.struct("report.assessment", "report.identity", "report.timing")),
     )
@@ -409,8 +410,7 @@ def report_lines(spark, sf) -> DataFrame:
 
 @query
 def report_json_lines(spark, sf):
-    narrow = er.reports(spark, sf).drop("loadavg_5m", "loadavg_15m")
-    return assemble(narrow).select("event_id", report_json(F.col("report")).alias("line"))
+    return assemble(er.reports(spark, sf)).select("event_id", report_json(F.col("report")).alias("line"))
 
 
 @query
@@ -427,6 +427,9 @@ def parse_lines(spark, sf):
         "seq",
         "schema_version",
         "heartbeat_ok",
+        "loadavg_1m",
+        "loadavg_5m",
+        "loadavg_15m",
         "mem_available_bytes",
         "disk_free_bytes",
     )
@@ -759,25 +762,61 @@ def spool_summary(spark, sf):
     """Per-node summary over spool files, in file order."""
     reports = spool.read_spool(spark, written_spool(spark, sf), "*.txt")
     table = summarize.summarize_by_node(reports, 5, spool.ARRIVAL, segment="file_path")
-    return table.select(
-        "node_id",
-        "reports_seen_tail",
-        "degraded_count_tail",
-        "unhealthy_count_tail",
-        "health_transitions_tail",
-        "latest_emitted_at",
-        "max_cpu1_tail",
-        "min_mem_available_pct_tail",
-        "min_disk_free_pct_tail",
-    )
+    return table.select(*SPOOL_FIGURES)
+
+
+def named_spools(spark, lines: DataFrame, folder: str) -> str:
+    """Write lines as one spool file per node, in event order."""
+    ranges.write_files(lines, folder, F.concat("file_path", F.lit(".jsonl")), ["line_id"])
+    return folder
+
+
+SPOOL_FIGURES = (
+    "node_id",
+    "reports_seen_tail",
+    "degraded_count_tail",
+    "unhealthy_count_tail",
+    "health_transitions_tail",
+    "latest_emitted_at",
+    "max_cpu1_tail",
+    "min_mem_available_pct_tail",
+    "min_disk_free_pct_tail",
+)
 
 
 @query
 def spool_tail_summary(spark, sf):
-    """The folder summary command over spool files, with its run figures."""
-    folder = written_spool(spark, sf)
-    triage = commands.summarize_spools(spark, folder, 50, glob="*.txt", computed_at=COMPUTED_AT)
-    return triage.meta.drop("spool_dir")
+    """The folder summary command over tails found from the ends of the files, with its run figures."""
+    folder = named_spools(spark, report_lines(spark, sf), fresh_folder(spark, "fleet"))
+    triage = commands.summarize_spools(spark, folder, 50, glob="*.jsonl", computed_at=COMPUTED_AT, by_ranges=True)
+    meta = triage.meta.select(
+        "tail_n", "files_seen", "nodes_seen_tail", "nodes_emitted", "reports_parsed", "reports_invalid", "reports_invalid_total"
+    ).first()
+    return triage.emitted.select(*SPOOL_FIGURES, *(F.lit(value).alias(name) for name, value in meta.asDict().items()))
+
+
+@query
+def tail_ranges(spark, sf):
+    """The last 100 physical lines of every spool, read by byte ranges from the ends of the files."""
+    folder = named_spools(spark, report_lines(spark, sf), fresh_folder(spark, "ranges"))
+    lines = ranges.tail_lines(spark, folder, 100, "*.jsonl", first=4096)
+    name = F.regexp_extract("file_path", r"([^/]*)\.jsonl$", 1).alias("spool")
+    return lines.select(name, F.md5("line").alias("line_md5"))
+
+
+@query
+def spool_appends(spark, sf):
+    """Four appends to one spool, in another order than the events'; what depends on arrival follows the appends."""
+    folder = fresh_folder(spark, "appends")
+    lines = report_lines(spark, sf)
+    for quarter in APPENDED:
+        appends.append_reports(lines.where(F.col("event_id") % 4 == quarter), folder, ORDER)
+    reports = appends.read_spool(spark, folder)
+    table = summarize.summarize_by_node(reports, 5, spool.ARRIVAL, segment="file_path")
+    last = reports.groupBy("node_id").agg(F.max_by(F.struct("seq", "health"), F.struct(*spool.ARRIVAL)).alias("last"))
+    return table.join(last, "node_id").select(
+        *SPOOL_FIGURES, F.col("last.seq").alias("last_seq"), F.coalesce("last.health", F.lit("unknown")).alias("last_health")
+    )
 
 
 # --- live versions --------------------------------------------------------
@@ -812,12 +851,11 @@ def stream_evaluate(spark, sf):
 @query
 def stream_sink(spark, sf):
     """Live reports appended to a spool folder as JSON lines, then read back."""
-    narrow = er.reports_of(live_events(spark, sf)).drop("loadavg_5m", "loadavg_15m")
-    lines = assemble(narrow).select(report_json(F.col("report")).alias("line"))
+    reports = assemble(er.reports_of(live_events(spark, sf)))
+    lines = reports.select("event_id", report_json(F.col("report")).alias("line"))
     out, checkpoint = fresh_folder(spark, "sink"), fresh_folder(spark, "sink-checkpoint")
-    live.run_available(live.append_stream(lines, out, checkpoint))
-    reports = spool.read_spool(spark, out, "*.txt")
-    return reports.select((F.col("seq") - 1).alias("event_id"), "node_id", "health")
+    live.run_available(appends.append_stream(lines, out, checkpoint, ORDER))
+    return appends.read_spool(spark, out).select((F.col("seq") - 1).alias("event_id"), "node_id", "health")
 
 
 @query
@@ -830,6 +868,31 @@ def stream_reports(spark, sf):
     )
 
 
+@query
+def stream_growing_spool(spark, sf):
+    """Spools that grow and are rotated between three runs; each run reads what is new and updates the summaries."""
+    folder, log = fresh_folder(spark, "growing"), fresh_folder(spark, "growing-log")
+    state, out = fresh_folder(spark, "growing-state"), fresh_folder(spark, "growing-summary")
+    last_event = F.col("event_id") / er.load(spark, sf, "events").agg(F.max("event_id")).scalar()
+    lines = settle(report_lines(spark, sf).withColumn("part", last_event), "growing-lines")
+    spools = growing.GrowingSpool(spark, folder, log)
+    body = stateful.node_summaries(state, out, TAIL, growing.ARRIVAL, keys=["spool"])
+    # half of the lines, the last one of a spool cut short; then some whole lines more
+    half = lines.where("part <= 0.5")
+    newest = F.row_number().over(Window.partitionBy("file_path").orderBy(F.desc("line_id"))) == 1
+    cut_short = half.withColumn("line", F.when(newest, F.expr("left(line, 9)")).otherwise(F.col("line")))
+    ranges.write_files(cut_short, folder, F.concat("file_path", F.lit(".jsonl")), ["line_id"], ending_of_last=False)
+    spools.advance(body)
+    named_spools(spark, lines.where("part <= 0.8"), folder)
+    spools.advance(body)
+    # some more, then a rotation of half of the spools, then the rest
+    old = lines.where("part <= 0.9 AND right(file_path, 1) % 2 = 0")
+    ranges.write_files(old, folder, F.concat("file_path", F.lit(".1.jsonl")), ["line_id"])
+    named_spools(spark, lines.where("part > 0.9 OR right(file_path, 1) % 2 = 1"), folder)
+    run = spools.advance(body)
+    return spark.read.parquet(f"{out}/batch={run}").select(*SPOOL_FIGURES)
+
+
 @query
 def stream_node_summary(spark, sf):
     rows = er.reports_of(live_events(spark, sf)).drop("outcomes")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from test_summary import made_up
 
 from vigil.functions.health import evaluate
+from vigil.sources import appends
 from vigil.streaming import sources as live, stateful, windows
 
 
@@ -78,8 +79,8 @@ def test_live_spool(spark, tmp_path):
     assert [r["seq"] for r in got] == [1, 2, 3, 4, 5, 6]
     lines = live.stream_lines(spark, str(folder))
     for _ in range(2):  # a second run finds nothing new
-        live.run_available(live.append_stream(lines, str(tmp_path / "sink"), str(tmp_path / "cp2")))
-    assert spark.read.text(str(tmp_path / "sink")).count() == 9
+        live.run_available(appends.append_stream(lines, str(tmp_path / "sink"), str(tmp_path / "cp2"), ["file_path", "line"]))
+    assert appends.read_lines(spark, str(tmp_path / "sink")).count() == 9
 
 
 def test_live_verdicts_equal_batch(spark, tmp_path):

@@ -242,11 +242,12 @@ def last_parsed(reports: DataFrame, arrival: Sequence[str], fields: Sequence[str
 
 def tail_stats(reports: DataFrame, arrival: Sequence[str]) -> DataFrame:
     """Number of reports, and seq and health of the last one; ``unknown`` if absent."""
-    last = last_parsed(reports, arrival, ["seq", "health"])
+    seq = "seq_text" if "seq_text" in reports.columns else "seq"
+    last = last_parsed(reports, arrival, [seq, "health"])
     row = reports.agg(F.count(F.lit(1)).alias("reports_parsed"), last.alias("last"))
     return row.select(
         "reports_parsed",
-        F.coalesce(F.col("last.seq").cast("string"), F.lit("unknown")).alias("last_seq"),
+        F.coalesce(F.col(f"last.{seq}").cast("string"), F.lit("unknown")).alias("last_seq"),
         F.coalesce("last.health", F.lit("unknown")).alias("last_health"),
     )
 

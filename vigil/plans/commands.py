@@ -11,7 +11,7 @@ from vigil.operators import fleet, summarize, validate
 from vigil.operators.filters import single_node_files, summary_filter
 from vigil.plans import render
 from vigil.session import configure, settle
-from vigil.sources import spool
+from vigil.sources import ranges, spool
 
 ARRIVAL = spool.ARRIVAL
 
@@ -34,10 +34,10 @@ class Triage:
 def status_lines(reports: DataFrame, fmt: str = "text") -> DataFrame:
     """One status line per report; ``reasons=none`` without reasons."""
     if fmt == "json":
-        text = F.to_json(
-            F.struct("emitted_at", "health", "node_id", "reasons", "seq"),
-            {"ignoreNullFields": "false"},
-        )
+        fields = F.to_json(F.struct("emitted_at", "health", "node_id", "reasons"), {"ignoreNullFields": "false"})
+        seq = "seq_json" if "seq_json" in reports.columns else F.col("seq").cast("string")
+        text = F.concat(F.expr("left(_fields, length(_fields) - 1)"), F.lit(',"seq":'), F.coalesce(seq, F.lit("null")), F.lit("}"))
+        return reports.withColumn("_fields", fields).withColumn("status", text).drop("_fields")
     elif fmt == "text":
         listed = F.array_join("reasons", ",")
         text = F.concat(
@@ -61,9 +61,7 @@ def last_valid_reports(parsed: DataFrame) -> DataFrame:
     """The last report of each file that has node, health, seq and time."""
     needed = ("assessment", "identity", "timing")
     complete = with_sections(parsed, only=needed).filter(has_status_fields())
-    # seq as it stands in the line, which may be no whole number
-    seq_text = F.expr("cast(_timing.seq AS string)").alias("seq_text")
-    valid = spool.reports_of(complete.select(*parsed.columns, seq_text))
+    valid = spool.reports_of(complete.select(*parsed.columns), raw_seq=True)
     whole = [c for c in valid.columns if c != "file_path"]
     last = valid.groupBy("file_path").agg(
         F.max_by(F.struct(*whole), F.struct(*spool.LINE_ORDER)).alias("last")
@@ -81,7 +79,7 @@ def status(spark: SparkSession, path: str, tail: int = 200, fmt: str = "text") -
 def tail_report(spark: SparkSession, path: str, n: int = 50) -> DataFrame:
     """Parsed reports in the tail, and seq and health of the last one."""
     configure(spark)
-    reports = spool.reports_of(spool.tail_spool(spark, path, n))
+    reports = spool.reports_of(spool.tail_spool(spark, path, n), raw_seq=True)
     return summarize.tail_stats(reports, ARRIVAL)
 
 
@@ -101,17 +99,23 @@ def summarize_spools(
     glob: str | None = None,
     computed_at: str = "",
     one_node_per_file: str | None = None,
+    by_ranges: bool = False,
     **conditions,
 ) -> Triage:
     """Summaries of one spool, or of a folder of spools when ``glob`` is given.
 
     ``one_node_per_file`` is ``raise`` or ``drop`` to enforce that every file
-    names a single node; None, as for a live view, does not check.
+    names a single node; None, as for a live view, does not check. ``by_ranges`` finds the
+    tails from the ends of the files instead of scanning them, and takes hidden files too.
     """
     configure(spark)
     keep = summary_filter(**conditions)
     # the spools are scanned once; everything below reads their tails or the summaries
-    tails = settle(spool.tail_lines(spool.read_lines(spark, path, glob), tail), "tails")
+    if by_ranges:
+        ends = ranges.tail_lines(spark, path, tail, glob or "*")
+    else:
+        ends = spool.tail_lines(spool.read_lines(spark, path, glob), tail)
+    tails = settle(ends, "tails")
     parsed = spool.parse_lines(tails)
     reports = spool.reports_of(parsed)
     if one_node_per_file is not None:
@@ -121,7 +125,8 @@ def summarize_spools(
     summaries = settle(table, "summaries")
     extra: dict[str, str | int] = {"spool_path": path}
     if glob is not None:
-        extra = {"spool_dir": path, "files_seen": spool.count_files(spark, path, glob)}
+        seen = ranges.list_files(spark, path, glob).count() if by_ranges else spool.count_files(spark, path, glob)
+        extra = {"spool_dir": path, "files_seen": seen}
     meta = fleet.summary_meta(
         summaries, keep, tail, computed_at, spool.invalid_counts(parsed), **extra
     )

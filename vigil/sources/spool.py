@@ -88,11 +88,15 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return with_object(lines).withColumn("is_invalid", F.col("obj").isNull() & ~blank)
 
 
-def reports_of(parsed: DataFrame) -> DataFrame:
-    """Typed reports of the lines that parsed; positions stay as arrival order."""
+def reports_of(parsed: DataFrame, raw_seq: bool = False) -> DataFrame:
+    """Typed reports of the lines that parsed; positions stay as arrival order.
+
+    ``raw_seq`` adds seq as it stands in the line, which may be no whole number: as text and as JSON.
+    """
     kept = parsed.filter(F.col("obj").isNotNull())
     position = [c for c in parsed.columns if c not in ("line", "obj", "is_invalid")]
-    typed = with_sections(kept).select(*position, *report_columns())
+    raw = [F.expr("cast(_timing.seq AS string) AS seq_text"), F.expr("to_json(_timing.seq) AS seq_json")] if raw_seq else []
+    typed = with_sections(kept).select(*position, *report_columns(), *raw)
     return typed.withColumn("node_id", F.coalesce("node_id_raw", F.lit("unknown")))
 
 

@@ -34,17 +34,6 @@ def stream_evaluate(signals: DataFrame, thresholds=None, failures=None) -> DataF
     return evaluate(signals, thresholds, failures)
 
 
-def append_stream(lines: DataFrame, path: str, checkpoint: str, column: str = "line"):
-    """Writer that appends JSON lines to a spool folder exactly once."""
-    return (
-        lines.select(F.col(column).alias("value"))
-        .writeStream.format("text")
-        .outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .option("path", path)
-    )
-
-
 def write_table_stream(rows: DataFrame, path: str, checkpoint: str):
     """Writer that appends rows to a Parquet folder exactly once."""
     return (
