@@ -27,7 +27,7 @@ from vigil.operators import (
     ticks,
     validate,
 )
-from vigil.operators.tail import tail_rows
+from vigil.operators.tail import large_tails, tail_rows
 from vigil.plans import commands, event_reports as er, render
 from vigil.session import fresh_folder, settle
 from vigil.sources import appends, event_log, ranges, spool, thresholds
@@ -241,6 +241,13 @@ def tail_per_node(spark, sf):
     return tail_reports(spark, sf).select("node_id", "event_id", F.col("tail_rank").cast("bigint"))
 
 
+@query
+def tail_large(spark, sf):
+    """The last 12,000 order lines of either status, found by counting along the order keys."""
+    lines = er.load(spark, sf, "lineitem").select("l_linestatus", "l_orderkey", "l_linenumber", "l_quantity")
+    return large_tails(lines, 12_000, ["l_linestatus"], ["l_orderkey", "l_linenumber"])
+
+
 @query
 def node_summary(spark, sf):
     return flat_summary(summaries(spark, sf))
@@ -833,11 +840,19 @@ def live_result(spark, rows: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(out)
 
 
-def live_batches(spark, rows: DataFrame, make, label: str) -> DataFrame:
-    out, state = fresh_folder(spark, label), fresh_folder(spark, f"{label}-state")
-    checkpoint = fresh_folder(spark, f"{label}-checkpoint")
-    live.run_available(stateful.run_batches(rows, make(state, out), checkpoint))
-    return spark.read.parquet(out)
+def live_batches(spark, sf, rows_of, process, label: str, mode: str = "append") -> int:
+    """Let the events arrive in four parts, each a micro-batch of its own; returns the number of batches.
+
+    ``rows_of`` makes the stream to process from the stream of events.
+    """
+    events = er.load(spark, sf, "events")
+    folder, checkpoint = fresh_folder(spark, f"{label}-in"), fresh_folder(spark, f"{label}-checkpoint")
+    parts = events.agg(F.max("event_id")).first()[0] // 4 + 1
+    for part in range(4):
+        events.where(F.floor(F.col("event_id") / parts) == part).write.mode("append").parquet(folder)
+        arriving = spark.readStream.schema(events.schema).parquet(folder)
+        live.run_available(stateful.run_batches(rows_of(arriving), process, checkpoint, mode))
+    return 4
 
 
 @query
@@ -895,26 +910,21 @@ def stream_growing_spool(spark, sf):
 
 @query
 def stream_node_summary(spark, sf):
-    rows = er.reports_of(live_events(spark, sf)).drop("outcomes")
-
-    def make(state, out):
-        return stateful.node_summaries(state, out, TAIL, ORDER)
-
-    result = live_batches(spark, rows, make, "summary")
-    newest = result.agg(F.max("batch")).scalar()
-    return flat_summary(result.filter(F.col("batch") == newest).drop("batch"))
+    state, out = fresh_folder(spark, "summary-state"), fresh_folder(spark, "summary")
+    process = stateful.node_summaries(state, out, TAIL, ORDER)
+    live_batches(spark, sf, lambda events: er.reports_of(events).drop("outcomes"), process, "summary")
+    return flat_summary(stateful.latest(spark, out, ["node_id"]))
 
 
 @query
 def stream_transitions(spark, sf):
-    rows = er.reports_of(live_events(spark, sf)).select("node_id", "event_id", "health", er.SEGMENT)
+    def rows_of(events):
+        return er.reports_of(events).select("node_id", "event_id", "health", er.SEGMENT)
 
-    def make(state, out):
-        return stateful.health_changes(state, out, ORDER, er.SEGMENT)
-
-    return live_batches(spark, rows, make, "changes").select(
-        "node_id", "event_id", "prev_health", "health"
-    )
+    state, out = fresh_folder(spark, "changes-state"), fresh_folder(spark, "changes")
+    process = stateful.health_changes(state, out, ORDER, er.SEGMENT)
+    live_batches(spark, sf, rows_of, process, "changes")
+    return spark.read.parquet(out).select("node_id", "event_id", "prev_health", "health")
 
 
 @query
@@ -929,11 +939,15 @@ def stream_seq_dedup(spark, sf):
 
 @query
 def stream_tick_windows(spark, sf):
-    rows = ticks_view(live_events(spark, sf)).withColumn(
-        "overrun", F.col("tick_elapsed_ms") > 3_600_000
-    )
-    result = live_result(spark, windows.tick_windows(rows, "1 day", "12 hours"), "windows")
-    return result.select(
+    """Windows as they stand after the last batch, open ones too."""
+
+    def rows_of(events):
+        ticks = ticks_view(events).withColumn("overrun", F.col("tick_elapsed_ms") > 3_600_000)
+        return windows.tick_windows(ticks, "1 day", "12 hours")
+
+    out = fresh_folder(spark, "windows")
+    live_batches(spark, sf, rows_of, stateful.upserts(out), "windows", "update")
+    return stateful.latest(spark, out, ["node_id", "window_start"]).select(
         "node_id",
         stamp("window_start").alias("window_start"),
         stamp("window_end").alias("window_end"),
@@ -945,9 +959,14 @@ def stream_tick_windows(spark, sf):
 
 @query
 def stream_outage_sessions(spark, sf):
-    rows = er.reports_of(live_events(spark, sf)).select("node_id", "emitted_ts", "health")
-    result = live_result(spark, windows.outage_sessions(rows, "2 hours"), "sessions")
-    return result.select(
+    """Sessions as they stand after the last batch, open ones too."""
+
+    def rows_of(events):
+        return er.reports_of(events).select("node_id", "emitted_ts", "health")
+
+    sessions = stateful.OutageSessions(fresh_folder(spark, "sessions"), "2 hours")
+    batches = live_batches(spark, sf, rows_of, sessions.process, "sessions")
+    return sessions.result(spark, batches).select(
         "node_id",
         stamp("session_start").alias("session_start"),
         stamp("session_end").alias("session_end"),

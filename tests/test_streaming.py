@@ -1,4 +1,7 @@
+import os
+import random
 import shutil
+from datetime import datetime, timedelta
 
 from plain import ROWS_SCHEMA, assert_summaries, line, report, rows, summaries
 from pyspark.sql import functions as F
@@ -34,6 +37,8 @@ def test_node_summaries_over_batches(spark, tmp_path):
     live.run_available(stateful.run_batches(stream, process, str(tmp_path / "cp")))
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.select("batch").distinct().count() == 4
+    newest = stateful.latest(spark, str(tmp_path / "out"), ["node_id"])
+    assert newest.count() == newest.select("node_id").distinct().count()
     for batch in (0, 3):
         seen = reports[: (batch + 1) * 150]
         want = []
@@ -116,3 +121,83 @@ def test_late_and_repeated_reports(spark, tmp_path):
     live.run_available(live.write_table_stream(counted, str(tmp_path / "o2"), str(tmp_path / "c2")))
     got = spark.read.parquet(str(tmp_path / "o2")).orderBy("window_start").collect()
     assert [(r["window_start"].hour, r["ticks"]) for r in got] == [(0, 2), (3, 1), (6, 1)]
+
+
+def files_of(folder):
+    return {os.path.join(at, name): os.stat(os.path.join(at, name)).st_mtime_ns for at, _, names in os.walk(folder) for name in names}
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    state = stateful.Buckets(str(tmp_path / "state"), ["node_id"], 8)
+
+    def table(values):
+        return spark.createDataFrame(list(values.items()), "node_id string, last int")
+
+    nodes = {f"n{i}": i for i in range(40)}
+    assert state.before(spark, 0) is None
+    state.write(table(nodes), 0)
+    one = table({"n3": 100})
+    touched = state.touched(one)
+    assert len(touched) == 1
+    kept = files_of(tmp_path / "state")
+    for batch in (1, 2, 3):
+        before = state.before(spark, batch, touched)
+        others = {r.node_id: r.last for r in before.collect() if r.node_id != "n3"}
+        for _ in range(2):  # a batch repeated after a failure
+            state.write(table(others | {"n3": 100 * batch}), batch)
+    assert {r.node_id: r.last for r in state.before(spark, 4).collect()} == nodes | {"n3": 300}
+    now = files_of(tmp_path / "state")
+    elsewhere = {f: t for f, t in kept.items() if f"bucket={touched[0]}" not in f and "_SUCCESS" not in f}
+    assert elsewhere and all(now[f] == t for f, t in elsewhere.items())
+    # versions that no batch can ask for are gone
+    assert sorted(os.listdir(tmp_path / "state" / f"bucket={touched[0]}")) == ["batch=2", "batch=3"]
+
+
+def sessions_of(rows, gap):
+    out = []
+    for node in sorted({n for n, _, _ in rows}):
+        times = sorted((t, h) for n, t, h in rows if n == node and h != "OK")
+        for t, h in times:
+            if out and out[-1][0] == node and t < out[-1][2]:
+                out[-1][2], out[-1][3], out[-1][4] = t + gap, out[-1][3] + 1, out[-1][4] + (h == "UNHEALTHY")
+            else:
+                out.append([node, t, t + gap, 1, int(h == "UNHEALTHY")])
+    return {tuple(x) for x in out}
+
+
+def test_sessions_grow_and_join_over_batches(spark, tmp_path):
+    draw, start = random.Random(5), datetime(2026, 1, 1)
+    rows = []
+    for i in range(240):
+        at = start + timedelta(minutes=30 * i - draw.randint(0, 170))  # out of order, though never late
+        rows.append((f"n{draw.randint(0, 3)}", at, draw.choice(["OK", "DEGRADED", "UNHEALTHY"])))
+    sessions = stateful.OutageSessions(str(tmp_path / "state"), "2 hours", "3 hours")
+    seen = []
+    for batch in range(6):
+        part = rows[batch * 40 : (batch + 1) * 40]
+        seen += part
+        table = spark.createDataFrame([(n, t.isoformat(sep=" "), h) for n, t, h in part], "node_id string, t string, health string")
+        table = table.withColumn("emitted_ts", F.col("t").cast("timestamp"))
+        for _ in range(2):
+            sessions.process(table, batch)
+        if batch in (0, 3, 5):
+            found = sessions.result(spark, batch + 1).selectExpr("node_id", "string(session_start) a", "string(session_end) b", "reports", "unhealthy")
+            got = {(r.node_id, datetime.fromisoformat(r.a), datetime.fromisoformat(r.b), r.reports, r.unhealthy) for r in found.collect()}
+            assert got == sessions_of(seen, timedelta(hours=2))
+    late = spark.createDataFrame([("n0", "UNHEALTHY")], "node_id string, health string").withColumn("emitted_ts", F.lit("2025-12-01").cast("timestamp"))
+    count = sessions.result(spark, 6).count()
+    sessions.process(late, 6)
+    assert sessions.result(spark, 7).count() == count
+
+
+def test_open_windows_are_shown(spark, tmp_path):
+    out, folder = str(tmp_path / "out"), str(tmp_path / "in")
+    for batch in range(3):
+        part = spark.createDataFrame([("n", batch * 50 + i) for i in range(3)], "node_id string, at int")
+        part = part.selectExpr("node_id", "timestamp_seconds(at * 60) AS tick_start", "100L AS tick_elapsed_ms", "true AS overrun")
+        part.write.mode("append").parquet(folder)
+        rows = windows.tick_windows(spark.readStream.schema(part.schema).parquet(folder), "1 hour")
+        live.run_available(stateful.run_batches(rows, stateful.upserts(out), str(tmp_path / "cp"), "update"))
+        newest = stateful.latest(spark, out, ["node_id", "window_start"]).selectExpr("hour(window_start) h", "ticks").collect()
+        minutes = [k * 50 + i for k in range(batch + 1) for i in range(3)]
+        assert {r.h: r.ticks for r in newest} == {h: sum(m // 60 == h for m in minutes) for h in {m // 60 for m in minutes}}

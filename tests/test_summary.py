@@ -1,11 +1,12 @@
 import random
 
+import pytest
 from plain import ROWS_SCHEMA, assert_summaries, report, rows, summaries
 from pyspark.sql import functions as F
 
 from vigil.operators import fleet
 from vigil.operators.summarize import latest_reports, summarize_by_node, top_reasons
-from vigil.operators.tail import tail_rows
+from vigil.operators.tail import large_tails, tail_rows
 
 
 def made_up(seed, count=600, nodes=6):
@@ -114,3 +115,38 @@ def test_fleet_figures(spark):
     assert tuple(fleet.fleet_rollup(nobody).first()) == (0, 0, 0, 0, False, False)
     assert fleet.alert_code(nobody).first()[0] == 0
     assert fleet.mixed_thresholds(nobody).first()["mixed"] is False
+
+
+@pytest.mark.parametrize("steps", [2, 7, 4096])
+@pytest.mark.parametrize("n", [1, 40, 250, 10_000])
+def test_large_tails(spark, n, steps):
+    draw = random.Random(n)
+    table = []
+    for i in range(900):
+        at = draw.choice([draw.randint(0, 30), draw.randint(0, 10**9), None if i % 50 == 0 else 5])
+        table.append((draw.choice(["a", "a", "a", "b", None]), at, i))
+    table += [("few", 3, 900), ("few", None, 901)]
+    made = spark.createDataFrame(table, "k string, at long, i long")
+    want = set()
+    for key in {k for k, _, _ in table}:
+        rows = sorted((r for r in table if r[0] == key), key=lambda r: (-1 if r[1] is None else r[1], r[2]))
+        want |= {r[2] for r in rows[-n:]}
+    found = [r.i for r in large_tails(made, n, ["k"], ["at", "i"], steps).collect()]
+    assert len(found) == len(want) and set(found) == want
+
+
+def test_large_tails_of_times_and_of_all_rows(spark):
+    made = spark.range(1000).selectExpr("id", "timestamp_seconds(id * 7919 % 1009) AS at")
+    want = {r.id for r in made.orderBy(F.desc("at"), F.desc("id")).limit(333).collect()}
+    assert {r.id for r in large_tails(made, 333, [], ["at", "id"]).collect()} == want
+    assert large_tails(made.limit(0), 5, [], ["at", "id"]).count() == 0
+
+
+def test_tails_read_no_more_than_they_must(spark, tmp_path):
+    """The beginning of all tails limits the scan, and filters on keys pass below the cut of a tail."""
+    spark.range(5000).selectExpr("id", "id % 4 AS node").write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    plan = large_tails(table, 100, ["node"], ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id," in plan
+    plan = tail_rows(table, 100, ["node"], ["id"]).where("node = 2")._jdf.queryExecution().executedPlan().toString()
+    assert "(id#" in plan.split("PushedFilters")[0] and "% 4" not in plan and "EqualTo(node,2)" in plan

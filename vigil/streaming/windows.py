@@ -1,4 +1,4 @@
-"""Live operators on Spark's own streaming state: duplicates, windows, sessions."""
+"""Live operators on Spark's own streaming state: duplicates and windows."""
 
 from __future__ import annotations
 
@@ -21,7 +21,10 @@ def tick_windows(
     late: str = "1 hour",
     time: str = "tick_start",
 ) -> DataFrame:
-    """Overruns and mean duration of ticks per node and time window."""
+    """Overruns and mean duration of ticks per node and time window.
+
+    In update mode a batch gives the windows that it changed, open ones too: see ``stateful.upserts``.
+    """
     window = F.window(time, size, slide) if slide else F.window(time, size)
     counted = (
         ticks.withWatermark(time, late)
@@ -40,28 +43,3 @@ def tick_windows(
         "overruns",
         "mean_tick_ms",
     )
-
-
-def outage_sessions(
-    reports: DataFrame,
-    gap: str = "6 hours",
-    late: str = "1 hour",
-    time: str = "emitted_ts",
-) -> DataFrame:
-    """Sessions of reports that are not OK, per node; a pause of ``gap`` ends one."""
-    sessions = (
-        reports.withWatermark(time, late)
-        .filter(F.col("health") != "OK")
-        .groupBy("node_id", F.session_window(time, gap).alias("session"))
-        .agg(
-            F.count(F.lit(1)).alias("reports"),
-            F.count_if(F.col("health") == "UNHEALTHY").alias("unhealthy"),
-        )
-    )
-    return sessions.select(
-        "node_id",
-        F.col("session.start").alias("session_start"),
-        F.col("session.end").alias("session_end"),
-        "reports",
-        "unhealthy",
-    )
