@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import time
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from vigil.session import fresh_folder, settle
 
 __all__ = [
     "NO_ID",
+    "batch_rows",
     "batches_of",
     "collect_garbage",
     "doc_key",
@@ -83,6 +85,18 @@ def batches_of(batches: Iterator[pa.RecordBatch], limit: int = 256 << 10, name:
             at = to
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Hand rows to Python in smaller batches in what runs inside; the setting is put back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def collect_garbage(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of tables that nothing refers to any more."""
     for _ in range(2):  # what the first round lets go of, the second can collect

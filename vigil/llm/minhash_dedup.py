@@ -47,6 +47,11 @@ from vigil.llm.components import components
 _DRAWS = np.random.default_rng(5)
 SEEDS = _DRAWS.integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+# pivots that a document is compared with in a round
+PIVOTS = 2
+# words of the bitmap by which texts are told that can be in no pair
+BITMAP = 1 << 18
+
 SIGNED = pa.schema(
     [
         ("did", pa.int64()),
@@ -122,6 +127,20 @@ def shingle_sets(texts: DataFrame, width: int, name: str) -> DataFrame:
     return texts.mapInArrow(listed, ", ".join([*(f"{c} long" for c in others), f"{name} array<long>"]))
 
 
+def likely_members(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows whose uid is among ``members``, and some others.
+
+    A bitmap of hashed uids, ``BITMAP`` words of 64 bits whatever the number of members, is
+    broadcast, so that texts that are out of question are not shuffled. The more members there are, the
+    more others pass; the caller joins for certain.
+    """
+    place = F.xxhash64("uid", F.lit(11))
+    word, bit = F.pmod(place, F.lit(BITMAP)).alias("word"), F.expr("shiftleft(1L, cast(pmod(shiftright(xxhash64(uid, 11), 32), 64) AS int))")
+    bits = members.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    hashed = rows.withColumns({"word": F.pmod(place, F.lit(BITMAP)), "bit": bit})
+    return hashed.join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0).select(*rows.columns)
+
+
 def agreements(a: str, b: str) -> Column:
     """Coordinates on which two signatures agree."""
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
@@ -149,9 +168,13 @@ class Join:
         shared = common.settle(first.groupBy("posting").agg(F.count("*").alias("n")).where("n > 1").select("posting"), "shared")
         postings = first
         self.postings = common.settle(postings.join(shared, "posting", "left_semi"), "postings")
-        self.labels = common.settle(self.postings.select("uid").distinct().withColumn("label", F.col("uid")), "labels")
+        known = reps.select("uid", "n_shingles")
+        alone = self.postings.select("uid").distinct().join(known, "uid").withColumn("label", F.col("uid"))
+        self.labels = common.settle(alone, "labels")  # uid, n_shingles, label
         # only these documents can be in a pair; one row per uid
-        self.texts, self.width = common.settle(texts.join(self.labels, "uid", "left_semi"), "texts"), width
+        # an inner join, as a semi-join would be pushed below the one with the bitmap
+        likely = likely_members(texts, self.labels).join(self.labels.select("uid"), "uid")
+        self.texts, self.width = common.settle(likely, "texts"), width
 
     def labelled(self) -> DataFrame:
         return self.postings.join(self.labels, "uid")
@@ -182,7 +205,7 @@ class Join:
         other = self.labels.select(F.col("uid").alias("b"), F.col("label").alias("l_b"))
         edges = links.join(label, "a").join(other, "b").select(F.col("l_a").alias("a"), F.col("l_b").alias("b"))
         joined = components(edges).select(F.col("node").alias("label"), "component")
-        after = self.labels.join(joined, "label", "left").select("uid", F.coalesce("component", "label").alias("label"))
+        after = self.labels.join(joined, "label", "left").select("uid", "n_shingles", F.coalesce("component", "label").alias("label"))
         self.labels = common.settle(after, "labels")
 
     def pivot_round(self, salt: int) -> None:
@@ -191,10 +214,14 @@ class Join:
         pivot = F.min_by("uid", F.xxhash64("uid", F.lit(salt))) if salt else F.min("uid")
         several = rows.groupBy("posting").agg(pivot.alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high"))
         several = several.where("low != high").select("posting", "pivot")
-        own = self.labels.select(F.col("uid").alias("pivot"), F.col("label").alias("pivot_label"))
+        own = self.labels.select(F.col("uid").alias("pivot"), F.col("label").alias("pivot_label"), F.col("n_shingles").alias("pivot_n"))
         several = common.settle(several.join(own, "pivot"), "pivots")
-        pairs = rows.join(several, "posting").where("label != pivot_label")
-        pairs = pairs.select(F.col("uid").alias("a"), F.col("pivot").alias("b")).distinct()
+        near = F.least("n_shingles", "pivot_n") * 100 >= F.greatest("n_shingles", "pivot_n") * self.percent
+        pairs = rows.join(several, "posting").where((F.col("label") != F.col("pivot_label")) & near)
+        # the pivots met most often are looked at; what that leaves out is found across labels
+        met = pairs.groupBy(F.col("uid").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("met"))
+        often = Window.partitionBy("a").orderBy(F.desc("met"), "b")
+        pairs = met.withColumn("place", F.row_number().over(often)).where(F.col("place") <= PIVOTS).select("a", "b")
         best = Window.partitionBy("a").orderBy(F.desc("agreements"), "b")
         self.confirm(self.counted(pairs, self.percent, self.matches).withColumn("place", F.row_number().over(best)).where("place = 1").drop("place"))
 
@@ -227,7 +254,7 @@ class Join:
 
     def across_labels(self) -> None:
         """All pairs of different labels under a posting, those of its largest label aside."""
-        rows = self.labelled()
+        rows = self.labelled().drop("n_shingles")
         sizes = rows.groupBy("posting", "label").agg(F.count("*").alias("n"))
         order = Window.partitionBy("posting").orderBy(F.desc("n"), "label")
         ranked = sizes.withColumn("place", F.row_number().over(order))
@@ -264,7 +291,13 @@ class Join:
 
 def cluster(docs: DataFrame, *, width: int = 3, percent: int = 85, coordinates: int = 24, loss: float = 1e-6, rounds: int = 3) -> DataFrame:
     """(did, text_uid, n_shingles, component) of every row; component is a uid (see ``repeats.unique_ids``)."""
-    texts = repeats.unique_ids(docs)
+    # a batch of rows is in memory several times over, on both sides of the pipe to Python
+    with common.batch_rows(docs.sparkSession, 1000):
+        return classes_of(repeats.unique_ids(docs), width, percent, coordinates, loss, rounds)
+
+
+def classes_of(texts: DataFrame, width: int, percent: int, coordinates: int, loss: float, rounds: int) -> DataFrame:
+    """``cluster`` of the rows (did, text, uid)."""
     signed = common.settle(texts.mapInArrow(signer(width, coordinates), SIGNED_SQL), "signed")
     full = signed.where("n_shingles > 0")
     key = ["digest_a", "digest_b", "n_shingles"]
@@ -272,7 +305,7 @@ def cluster(docs: DataFrame, *, width: int = 3, percent: int = 85, coordinates:
     members = common.settle(full.join(classes, key).select("uid", "rep", "n_shingles", "signature"), "members")
     reps = members.where("uid = rep").select("uid", "n_shingles", "signature").dropDuplicates(["uid"])
     reps = common.settle(reps, "reps")
-    single = texts.dropDuplicates(["uid"]) if repeats.ids_repeat(docs) else texts
+    single = texts.dropDuplicates(["uid"]) if signed.groupBy("uid").count().where("count > 1").count() else texts
     state = Join(reps, single.select("uid", "text"), width, percent, coordinates, loss)
     for salt in range(rounds):
         state.pivot_round(salt)
