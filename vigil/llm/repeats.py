@@ -37,8 +37,9 @@ BLOCKS = pa.schema(
 )
 FOUND = pa.schema([("uid", pa.int64()), ("first", pa.int32()), ("count", pa.int32())])
 FOUND_SQL = "uid long, first int, count int"
-# symbols compared at a time in one task, in bytes; groups of a gram stay together
-COMPARED = 4 << 20
+# symbols compared at a time in one task, in bytes; groups of a gram stay together. A comparison takes some
+# hundred times as much memory, as each place of a window has a number in a dozen arrays
+COMPARED = 1 << 20
 
 
 @dataclass(frozen=True)

@@ -63,7 +63,8 @@ def suffix_array(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np
     """
     order = np.argsort(words[starts], kind="stable")
     group = words[starts][order]
-    rank = np.cumsum(np.concatenate([[0], (group[1:] != group[:-1]).astype(np.int64)]))
+    rank = np.cumsum(np.concatenate([[0], group[1:] != group[:-1]]), dtype=np.int32)
+    del group
     depth = WORD
     while True:
         tied = np.zeros(len(order), dtype=bool)
@@ -83,12 +84,12 @@ def suffix_array(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np
         order[at] = mine[refined]
         key, ended, old = key[refined], ended[refined], rank[at][refined]
         new = np.concatenate([[False], (key[1:] != key[:-1]) | (ended[1:] != ended[:-1]) | (old[1:] != old[:-1])])
-        bump = np.zeros(len(order), dtype=np.int64)
+        bump = np.zeros(len(order), dtype=np.int32)
         bump[at] = new & np.concatenate([[False], at[1:] == at[:-1] + 1])
         bump[1:] |= rank[1:] != rank[:-1]
         # ended suffixes of one tie are equal: they must not be looked at again
         still = ended == 0
-        rank = np.cumsum(bump)
+        rank = np.cumsum(bump, dtype=np.int32)
         if still.any() and not more.any():
             return order
         depth += WORD
@@ -97,7 +98,7 @@ def suffix_array(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np
 def common_prefixes(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
     """LCP of each suffix with the one before it; the first has 0."""
     n = len(order)
-    lcp = np.zeros(n, dtype=np.int64)
+    lcp = np.zeros(n, dtype=np.int32)
     a, b = order[:-1], order[1:]
     limit = np.minimum(sizes[a], sizes[b])
     active, depth = np.arange(n - 1), 0
@@ -159,18 +160,20 @@ def maximal_repeats(table: pa.Table, window: int) -> tuple[np.ndarray, np.ndarra
     words = all_words(data)
     heads = bounds[:-1]
     lengths = np.diff(bounds) - 1
-    block = np.repeat(np.arange(len(symbols)), count)
-    offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    starts, sizes = heads[block] + offset, lengths[block] - offset
-    order = suffix_array(words, starts, sizes)
+    # places in a piece fit into 32 bits
+    block = np.repeat(np.arange(len(symbols), dtype=np.int32), count)
+    offset = np.arange(count.sum(), dtype=np.int32) - np.repeat((np.cumsum(count) - count).astype(np.int32), count)
+    starts, sizes = heads.astype(np.int32)[block] + offset, lengths.astype(np.int32)[block] - offset
+    order = suffix_array(words, starts, sizes).astype(np.int32)
     lcp = common_prefixes(words, starts, sizes, order)
+    del words, sizes
     block, offset, starts = block[order], offset[order], starts[order]
     # stretches of neighbours that share a window; those that all follow one byte hold no maximal repeat
     long = lcp >= window
     head = ~long
     at = np.flatnonzero(head)
     ends = np.concatenate([at[1:], [len(lcp)]])
-    left = np.where(offset == 0, -1, data[np.maximum(starts - 1, 0)].astype(np.int64))
+    left = np.where(offset == 0, -1, data[np.maximum(starts - 1, 0)].astype(np.int32))
     low, high = np.minimum.reduceat(left, at), np.maximum.reduceat(left, at)
     wanted = (ends - at > 1) & ((low != high) | (low < 0))
     groups, depths, members = [], [], []
@@ -185,7 +188,7 @@ def maximal_repeats(table: pa.Table, window: int) -> tuple[np.ndarray, np.ndarra
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, none
     members = np.concatenate(members)
-    return np.concatenate(groups), np.concatenate(depths), block[members], offset[members]
+    return np.concatenate(groups), np.concatenate(depths), block[members], offset[members].astype(np.int64)
 
 
 def remove_later(window: int):
@@ -199,7 +202,7 @@ def remove_later(window: int):
         begin = np.asarray(table.column("first")).astype(np.int64)[block] + offset
         again = repeats.later(group, uid, begin)
         if len(again):
-            ids, first, count = repeats.merged(uid[again], begin[again], depth[again] - window + 1)
+            ids, first, count = repeats.merged(uid[again], begin[again], depth[again].astype(np.int64) - window + 1)
             yield common.pack(repeats.FOUND, ids, first.astype(np.int32), count.astype(np.int32))
 
     return compare
