@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from vigil.llm import bpe, common, piece_spans
 
-UNIT = 2 << 20
+UNIT = 1 << 20
 PAIRS = 4 << 20
 A, B = 0, 1
 
