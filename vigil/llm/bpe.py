@@ -48,7 +48,7 @@ UNSAFE = re.compile(r"\s ")
 # longest stretch without a safe cut that is encoded in one go, in characters
 WHOLE = 4096
 # stretches kept encoded per worker; a memory bound only
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 LONGEST_REMEMBERED = 64
 
 
