@@ -13,9 +13,19 @@ from vigil.llm import bpe, common, decontaminate, minhash_dedup, suffix_dedup, t
 from vigil.llm.queries import importable
 
 
+def hand_over(spark: SparkSession, rows: int) -> None:
+    """Rows per batch that stages hand to Python from here on.
+
+    A batch is in memory several times over, so most stages take small ones; what repeats within a
+    batch is settled before the shuffle, so the search for repeats takes large ones.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below one half."""
     importable(spark)
+    hand_over(spark, 1000)
     labels = common.read_table(spark, sf_dir, "labels")
     scored = toxicity.score(docs, toxicity.train(docs, labels))
     return scored.where("tox_score < 0.5").select("doc_id", "text", "lang", "source", "n_chars")
@@ -30,18 +40,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the 100-byte strings that start earlier; n_chars is counted anew."""
     importable(spark)
+    hand_over(spark, 10_000)
     return suffix_dedup.with_kept_texts(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no region matches a benchmark item."""
     importable(spark)
+    hand_over(spark, 1000)
     return decontaminate.clean(docs, common.read_table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document left, and the digests of ids and decoded text."""
     importable(spark)
+    hand_over(spark, 1000)
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
