@@ -23,7 +23,7 @@ def test_query_equals_sql(spark, name):
 
 def test_every_operator_is_registered():
     names = {n for n in entry.queries() if n.startswith("op")}
-    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 14))
     assert "pipeline" in entry.queries()
 
 

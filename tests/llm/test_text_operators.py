@@ -277,6 +277,21 @@ def test_decontamination_finds_edited_items(spark):
         assert own and min(r[2] for r in own) == distance_within(items[k][1], decontaminate.plain(text))
 
 
+def test_short_items_are_found_verbatim(spark):
+    """Items without room for edits stand between word bounds; repeated items and null ids have rows of their own."""
+    texts = ["Well: what is  17\ntimes 23? No.", "what is 17 times 23", "somewhat is 17 times 23?", "Ja, ja ja", "", None, "caf\u00e9 ja\u00e9"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = [(1, "What is 17 times 23?"), (2, "ja"), (None, "ja"), (3, " "), (4, None), (5, "ja ja")]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    found = Counter((r.doc_id, r.item_id) for r in decontaminate.find(docs, items).collect())
+    assert found == {(0, 1): 1, (3, 2): 3, (3, None): 3, (3, 5): 1}
+    first = decontaminate.find(docs, items.where("item_id = 1")).first()
+    assert (first.edits, first.similarity, first.start, first.end) == (0, 1.0, 6, 26)
+    # a word or two are in clean documents too
+    assert {r.doc_id for r in decontaminate.clean(docs, items).collect()} == {1, 2, 3, 4, 5, 6}
+    assert {r.doc_id for r in decontaminate.clean(docs, items, least_words=1).collect()} == {1, 2, 4, 5, 6}
+
+
 def test_clean_documents_stay(spark):
     docs, _ = documents(spark)
     benchmark = common.read_table(spark, FOLDER, "benchmark")

@@ -21,9 +21,13 @@ so nothing is lost.
 Documents are read once per block of items (``block_bytes``), an index of
 bounded size sent along with the tasks, without a shuffle.
 
-Defined results: null and empty texts and items match nothing; an item shorter
-than ``shortest`` bytes in plain form is too little evidence and is left out; a
-budget is lowered until the q-gram bound is 2 at least (short items allow
+An item shorter than ``shortest`` bytes in plain form leaves no room for edits:
+it is looked up verbatim, standing between word bounds, all such items of a
+block at once.
+
+Defined results: null and empty texts and items match nothing; an item of fewer
+than ``least_words`` words (1 in ``find``; 3 in ``clean``, as a word or two stand in
+clean documents too) is left out; a budget is lowered until the q-gram bound is 2 at least (short items allow
 fewer edits); rows repeated in either table give rows for each; a
 null item_id or doc_id stays null. Of regions that overlap, only the best is
 reported.
@@ -31,9 +35,11 @@ reported.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,24 +81,42 @@ def slots(values: np.ndarray) -> np.ndarray:
     return (values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
 
 
+def in_word(byte: int) -> bool:
+    """0-9, a-z and all of a letter beyond ASCII."""
+    return 0x30 <= byte <= 0x39 or 0x61 <= byte <= 0x7A or byte >= 0x80
+
+
+def stands_alone(text: bytes, start: int, end: int) -> bool:
+    """True unless a word goes on across an edge of the region."""
+    before = start > 0 and in_word(text[start - 1]) and in_word(text[start])
+    after = end < len(text) and in_word(text[end - 1]) and in_word(text[end])
+    return not before and not after
+
+
 def edit_budget(n: int, errors: int) -> int:
     """Edits allowed for an item of n bytes; the q-gram bound stays at 2 or more."""
     return max(0, min(n * errors // 100, (n - Q - 1) // Q))
 
 
 class Index:
-    """q-grams of a block of items."""
-
-    def __init__(self, items: list[tuple[int | None, bytes]], errors: int):
-        self.ids = [i for i, _ in items]
-        self.texts = [t for _, t in items]
-        self.size = np.array([len(t) for t in self.texts], dtype=np.int64)
-        self.budget = np.array([edit_budget(len(t), errors) for t in self.texts], dtype=np.int64)
+    """q-grams of a block of items; those below ``shortest`` bytes are kept as they are."""
+
+    def __init__(self, items: list[tuple[int | None, bytes]], errors: int, shortest: int = Q + 1):
+        shortest = max(shortest, Q + 1)
+        ordered = sorted(items, key=lambda item: len(item[1]) < shortest)  # stable: the long ones first
+        self.ids = [i for i, _ in ordered]
+        self.texts = [t for _, t in ordered]
+        long = [t for t in self.texts if len(t) >= shortest]
+        self.long = len(long)
+        if not long:
+            return
+        self.size = np.array([len(t) for t in long], dtype=np.int64)
+        self.budget = np.array([edit_budget(len(t), errors) for t in long], dtype=np.int64)
         bound = self.size - Q + 1 - self.budget * Q
-        every = [grams(np.frombuffer(t, dtype=np.uint8)) for t in self.texts]
+        every = [grams(np.frombuffer(t, dtype=np.uint8)) for t in long]
         seen, counts = np.unique(np.concatenate([np.unique(g) for g in every]), return_counts=True)
         values, owners, places = [], [], []
-        self.need = np.zeros(len(items), dtype=np.int64)
+        self.need = np.zeros(len(long), dtype=np.int64)
         for k, own in enumerate(every):
             common_first = np.argsort(-counts[np.searchsorted(seen, own)], kind="stable")
             spare = int(bound[k] // 2)
@@ -110,6 +134,27 @@ class Index:
         self.filter = np.zeros(1 << BITS, dtype=bool)
         self.filter[slots(self.values)] = True
 
+    @functools.cached_property
+    def verbatim(self) -> ahocorasick.Automaton:
+        """Finds all short items in one pass; a byte stands for a character."""
+        owners: dict[bytes, list[int]] = {}
+        for item in range(self.long, len(self.texts)):
+            owners.setdefault(self.texts[item], []).append(item)
+        found = ahocorasick.Automaton()
+        for form, of in owners.items():
+            found.add_word(form.decode("latin-1"), (len(form), of))
+        found.make_automaton()
+        return found
+
+    def whole(self, text: bytes) -> Iterator[tuple[int, int, int]]:
+        """(item, start, end) of every short item that stands between word bounds."""
+        if self.long == len(self.texts):
+            return
+        for last, (size, of) in self.verbatim.iter(text.decode("latin-1")):
+            if stands_alone(text, last + 1 - size, last + 1):
+                for item in of:
+                    yield item, last + 1 - size, last + 1
+
     def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in data, item, place in item) of every shared q-gram."""
         found = grams(data)
@@ -204,27 +249,33 @@ def regions(index: Index, texts: list[bytes]) -> list[tuple[int, int | None, int
     data = np.frombuffer(gap.join(forms) + gap, dtype=np.uint8)
     bounds = np.concatenate([[0], np.cumsum([len(t) + Q for t in forms])])
     found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    for text, item, first in zip(*(x.tolist() for x in index.bands(data, bounds)), strict=True):
+    bands = zip(*(x.tolist() for x in index.bands(data, bounds)), strict=True) if index.long else ()
+    for text, item, first in bands:
         region = index.verify(forms[text], item, first)
         if region is not None:
             found.setdefault((text, item), []).append(region)
+    for text, form in enumerate(forms):
+        for item, start, end in index.whole(form):
+            found.setdefault((text, item), []).append((0, start, end))
     out = []
     for (text, item), all_of in found.items():
         kept: list[tuple[int, int, int]] = []
         for region in sorted(set(all_of)):
-            if all(region[2] <= x[1] or region[1] >= x[2] for x in kept):
+            # a short item may occur as often as the text is long, in order: the last one is all it can overlap
+            others = kept[-1:] if item >= index.long else kept
+            if all(region[2] <= x[1] or region[1] >= x[2] for x in others):
                 kept.append(region)
         out += [(text, index.ids[item], e, len(index.texts[item]), a, b) for e, a, b in kept]
     return sorted(out, key=lambda r: (r[0], r[4], r[1] is not None, r[1]))
 
 
-def item_blocks(benchmark: DataFrame, shortest: int, block_bytes: int) -> Iterator[list[tuple[int | None, bytes]]]:
+def item_blocks(benchmark: DataFrame, least_words: int, block_bytes: int) -> Iterator[list[tuple[int | None, bytes]]]:
     """Items in plain form, in blocks of bounded size."""
     block, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text")
     for item_id, text in rows.toLocalIterator():
         form = plain((text or "").encode())
-        if len(form) < max(shortest, Q + 1):
+        if not form or form.count(b" ") + 1 < least_words:
             continue
         if block and size + len(form) > block_bytes:
             yield block
@@ -235,7 +286,9 @@ def item_blocks(benchmark: DataFrame, shortest: int, block_bytes: int) -> Iterat
         yield block
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, errors: int = 10, shortest: int = 32, block_bytes: int = 4 << 20) -> DataFrame:
+def find(
+    docs: DataFrame, benchmark: DataFrame, *, errors: int = 10, shortest: int = 32, least_words: int = 1, block_bytes: int = 4 << 20
+) -> DataFrame:
     """(doc_id, item_id, edits, similarity, start, end) of every region that matches an item.
 
     start and end are byte places in the document's plain form; similarity is
@@ -245,8 +298,8 @@ def find(docs: DataFrame, benchmark: DataFrame, *, errors: int = 10, shortest: i
     schema = "did long, item_id long, edits int, item_bytes int, start long, end long"
     names = [f.strip().split()[0] for f in schema.split(",")]
     parts = []
-    for block in item_blocks(benchmark, shortest, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(Index(block, errors))
+    for block in item_blocks(benchmark, least_words, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(Index(block, errors, shortest))
 
         def searched(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in common.batches_of(batches):
@@ -268,10 +321,12 @@ def find(docs: DataFrame, benchmark: DataFrame, *, errors: int = 10, shortest: i
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, errors: int = 10, shortest: int = 32, block_bytes: int = 4 << 20) -> DataFrame:
+def clean(
+    docs: DataFrame, benchmark: DataFrame, *, errors: int = 10, shortest: int = 32, least_words: int = 3, block_bytes: int = 4 << 20
+) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no region matching an item."""
-    for block in item_blocks(benchmark, shortest, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(Index(block, errors))
+    for block in item_blocks(benchmark, least_words, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(Index(block, errors, shortest))
 
         def kept(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in common.batches_of(batches):
