@@ -36,6 +36,20 @@ def test_license_places(spark):
     assert found[4].n_base == found[5].n_base == 0 and found[5].first_word is None
 
 
+def test_wrapped_notices(spark):
+    """Notices over several lines, indented, in comment signs or within running text; words far apart are none."""
+    mit = "Permission is hereby granted, free of charge,\n    to any person obtaining\n * a copy of this software"
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted"
+    filler = " ".join(f"w{i}" for i in range(57))
+    rows = [(1, mit), (2, bsd), (3, f"{filler} {mit} {filler}"), (4, f"{filler}\n{bsd}"), (5, f"released under {filler} the mit license"), (6, "")]
+    for shift in range(19):
+        rows.append((10 + shift, f"{' x' * shift} {bsd}"))
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: r.labels for k, r in found.items() if k < 10} == {1: "mit", 2: "bsd", 3: "mit", 4: "bsd", 5: "", 6: ""}
+    assert found[1].score == found[3].score == 1.0 and found[5].score == 0.0
+    assert {r.labels for k, r in found.items() if k >= 10} == {"bsd"}
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     assert licenses.scan(docs).count() == 13 and licenses.scan(nothing(spark)).count() == 0

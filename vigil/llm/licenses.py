@@ -1,9 +1,11 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-A block is a line of a document, seen as the set of its words; a template
-matches a block that holds at least ``threshold`` tenths of its distinct words.
-The words of all templates are ordered by the number of blocks they occur in,
-over all documents, rarest first. With o the least overlap of a template:
+Blocks are windows over the words of a document, so that a notice may be
+wrapped, indented or set in comment signs: with s the words of the longest
+template, block i holds the 2 s words from place i s on. Any s + 1 consecutive
+words are thus together in a block. A template matches a block that holds at
+least ``threshold`` tenths of its distinct words. The words of all templates are
+ordered by the number of blocks they occur in, over all documents, rarest first. With o the least overlap of a template:
 
 * length filter: a block with fewer than o template words can't match;
 * prefix filter: a matching block shares a word of its own first
@@ -12,8 +14,10 @@ over all documents, rarest first. With o the least overlap of a template:
   still allows an overlap of o.
 
 Pairs that pass are counted in full, so the result is exact. Words outside the
-templates never count for an overlap and are dropped while a line is read, so
-only lines with enough template words leave the scan.
+templates never count for an overlap and are dropped while a text is read, so
+only blocks with enough template words leave the scan. Texts are split into
+words once: what blocks hold is written to a table (a few words of the
+templates each), which both the counts and the join read.
 
 Besides, base phrases are counted where their words stand consecutively in the
 whole text. All of it is DataFrame expressions.
@@ -77,7 +81,7 @@ def words_in(spaced_text: Column) -> Column:
 
 
 def phrase_places(docs: DataFrame, phrases: dict[str, str]) -> DataFrame:
-    """Adds n_words, n_base, first_word, last_word and found (labels) to rows with ``spaced``."""
+    """n_words, n_base, first_word, last_word and found (labels) in place of ``spaced``."""
     counts, firsts, lasts, found = [], [], [], []
     out = docs.withColumn("n_words", words_in(F.col("spaced")))
     for phrase, label in phrases.items():
@@ -95,8 +99,7 @@ def phrase_places(docs: DataFrame, phrases: dict[str, str]) -> DataFrame:
     least = firsts[0] if len(firsts) == 1 else F.least(*firsts)
     most = lasts[0] if len(lasts) == 1 else F.greatest(*lasts)
     return out.select(
-        "did",
-        "text_key",
+        *[c for c in docs.columns if c != "spaced"],
         "n_words",
         functools.reduce(lambda a, b: a + b, counts).alias("n_base"),
         least.alias("first_word"),
@@ -105,25 +108,38 @@ def phrase_places(docs: DataFrame, phrases: dict[str, str]) -> DataFrame:
     )
 
 
-def blocks(texts: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(did, text_key, block, held): template words of each line, in vocabulary order."""
-    lines = texts.select("did", "text_key", F.posexplode(F.split("lower", "\n")).alias("block", "line"))
-    words = F.split("line", SEPARATORS)
-    return lines.select("did", "text_key", "block", F.array_intersect(F.lit(vocabulary), words).alias("held"))
+def stride(templates: list[tuple[str, str]]) -> int:
+    """Words from the beginning of a block to that of the next: those of the longest template."""
+    return max(len(words.split()) for _, words in templates)
 
 
-def template_matches(texts: DataFrame, templates: list[tuple[str, str]], threshold: int) -> DataFrame:
+def blocks(spaced_text: Column, vocabulary: list[str], step: int, least: int) -> Column:
+    """Array of (block, held): the template words of each block that has at least ``least`` of them."""
+
+    def of(words: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(words) / step).cast("int") - 2, F.lit(0))
+        every = F.transform(
+            F.sequence(F.lit(0), last),
+            lambda i: F.struct(
+                i.alias("block"),
+                F.array_intersect(F.lit(vocabulary), F.slice(words, i * step + 1, F.lit(2 * step))).alias("held"),
+            ),
+        )
+        return F.filter(every, lambda b: F.size(b["held"]) >= least)
+
+    # as the element of an array, the words are split once and not anew for each block
+    return F.flatten(F.transform(F.array(F.split(F.trim(spaced_text), "  ")), of))
+
+
+def template_matches(held: DataFrame, templates: list[tuple[str, str]], threshold: int) -> DataFrame:
     """(did, text_key, block, label, containment) of every block that meets a template's threshold.
 
-    ``threshold`` is in tenths. Templates are a fixed list, so their words are a bounded vocabulary;
-    the driver receives one count for each of them.
+    ``held`` has the template words of the blocks as (did, text_key, block, held). ``threshold`` is in tenths.
+    Templates are a fixed list, so their words are a bounded vocabulary; the driver receives one count for each.
     """
-    sets = [(label, sorted(set(words.split()))) for label, words in templates]
+    sets, least = template_sets(templates, threshold)
     words = sorted({w for _, s in sets for w in s})
-    least = [-(-threshold * len(s) // 10) for _, s in sets]
-    counted = (
-        blocks(texts, words).select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
-    )
+    counted = held.select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
     seen = {r["word"]: r["n"] for r in counted}
     ordered = sorted(words, key=lambda w: (seen.get(w, 0), w))
     place = {w: i for i, w in enumerate(ordered)}
@@ -132,21 +148,19 @@ def template_matches(texts: DataFrame, templates: list[tuple[str, str]], thresho
         for k, ((label, s), need) in enumerate(zip(sets, least, strict=True))
         for i, token in enumerate(sorted(s, key=place.get)[: len(s) - need + 1])
     ]
-    spark = texts.sparkSession
+    spark = held.sparkSession
     prefixes = spark.createDataFrame(
         index, "template int, label string, need int, size int, word string, t_place int"
     )
     full = spark.createDataFrame([(k, s) for k, (_, s) in enumerate(sets)], "template int, words array<string>")
-    held = F.size("held")
-    short = blocks(texts, ordered).where(held >= min(least))
-    posted = short.select(
-        "did", "text_key", "block", "held", F.posexplode(F.slice("held", F.lit(1), held - min(least) + 1)).alias("place", "word")
-    )
+    many = F.size("held")
+    in_order = held.withColumn("held", F.array_intersect(F.lit(ordered), F.col("held")))
+    posted = in_order.select("*", F.posexplode(F.slice("held", F.lit(1), many - min(least) + 1)).alias("place", "word"))
     # both tables have a fixed size: the list of templates
     candidates = (
         posted.join(F.broadcast(prefixes), "word")
-        .where((held >= F.col("need")) & (F.col("place") <= held - F.col("need")))
-        .where(F.least(held - F.col("place"), F.col("size") - F.col("t_place")) >= F.col("need"))
+        .where((many >= F.col("need")) & (F.col("place") <= many - F.col("need")))
+        .where(F.least(many - F.col("place"), F.col("size") - F.col("t_place")) >= F.col("need"))
         .groupBy("did", "text_key", "block", "template", "label", "need", "size")
         .agg(F.first("held").alias("held"))
     )
@@ -159,6 +173,12 @@ def template_matches(texts: DataFrame, templates: list[tuple[str, str]], thresho
     )
 
 
+def template_sets(templates: list[tuple[str, str]], threshold: int) -> tuple[list[tuple[str, list[str]]], list[int]]:
+    """Labels and distinct words of the templates, and the least overlap of each."""
+    sets = [(label, sorted(set(words.split()))) for label, words in templates]
+    return sets, [-(-threshold * len(s) // 10) for _, s in sets]
+
+
 def scan(
     docs: DataFrame,
     *,
@@ -167,11 +187,14 @@ def scan(
     threshold: int = 9,
 ) -> DataFrame:
     """One row per document: word and phrase counts, labels and the best containment."""
-    texts = common.whole_texts(docs).withColumn("lower", lowered(F.col("text")))
-    texts = texts.select("did", F.xxhash64("text").alias("text_key"), "lower")
-    places = phrase_places(texts.select("did", "text_key", spaced(F.col("lower")).alias("spaced")), phrases)
+    sets, least = template_sets(templates, threshold)
+    vocabulary = sorted({w for _, s in sets for w in s})
+    texts = common.whole_texts(docs)
+    texts = texts.select("did", F.xxhash64("text").alias("text_key"), spaced(lowered(F.col("text"))).alias("spaced"))
+    held = blocks(F.col("spaced"), vocabulary, stride(templates), min(least)).alias("blocks")
+    places = common.settle(phrase_places(texts.select("*", held), phrases), "license_blocks")
     matched = (
-        template_matches(texts, templates, threshold)
+        template_matches(places.select("did", "text_key", F.inline("blocks")), templates, threshold)
         .groupBy("did", "text_key")
         .agg(F.collect_set("label").alias("matched"), F.max("containment").alias("best"))
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigil.llm.licenses import BASE_PHRASES, LOWER, TEMPLATES, UPPER
+from vigil.llm.licenses import BASE_PHRASES, LOWER, TEMPLATES, UPPER, stride
 
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -15,6 +15,7 @@ def _licenses() -> str:
         test = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words, 1))
         places.append(f"list_filter(range(len(w)), lambda i: {test})")
     labels = [f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, label in enumerate(BASE_PHRASES.values())]
+    step = stride(TEMPLATES)
     every = " || ".join(f"p{k}" for k in range(len(BASE_PHRASES)))
     return f"""
     WITH d AS (
@@ -25,8 +26,8 @@ def _licenses() -> str:
     p AS (SELECT r, doc_id, w, {", ".join(f"{p} AS p{k}" for k, p in enumerate(places))} FROM w),
     b AS (SELECT r, doc_id, w, {every} AS places,
                  list_filter([{", ".join(labels)}], lambda x: x IS NOT NULL) AS found FROM p),
-    lines AS (SELECT r, unnest(string_split(lo, chr(10))) AS line FROM d),
-    held AS (SELECT r, list_distinct(string_split_regex(line, '{SPLIT}')) AS held FROM lines),
+    places AS (SELECT r, w, unnest(range(greatest(1, (len(w) + {step - 1}) // {step} - 1))) AS i FROM w),
+    held AS (SELECT r, list_distinct(w[i * {step} + 1 : i * {step} + {2 * step}]) AS held FROM places),
     t(k, label, words) AS (VALUES {rows}),
     m AS (SELECT r, label, len(list_intersect(held, words)) AS shared, len(words) AS size FROM held, t),
     hit AS (SELECT r, list(DISTINCT label) AS matched, max(shared / size) AS best
