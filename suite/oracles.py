@@ -276,6 +276,47 @@ profiles AS (
 SQL["threshold_layers"] = f"WITH {LAYERS}\nSELECT * FROM resolved"
 SQL["thresholds_by_profile"] = f"WITH {LAYERS}\nSELECT * FROM profiles JOIN hashes USING (profile)"
 
+SQL["threshold_documents"] = """
+WITH given AS (
+    SELECT 'p' || c_custkey AS profile, 0 AS rank, d.section, d.key, d.value
+    FROM customer, (VALUES ('cpu', 'degraded_factor', '0.85'), ('cpu', 'unhealthy_factor', '1.25'),
+        ('disk', 'degraded_pct', '10.0'), ('disk', 'unhealthy_pct', '5.0'),
+        ('evaluation', 'profile_name', '"default"'), ('mem', 'degraded_pct', '15.0'),
+        ('mem', 'unhealthy_pct', '8.0')) AS d(section, key, value)
+    UNION ALL SELECT 'p' || c_custkey, 1, 'mem', 'degraded_pct', (c_custkey % 50) || '.5' FROM customer WHERE c_custkey % 7 = 2
+    UNION ALL SELECT 'p' || c_custkey, 1, 'disk', 'spare_pct', c_custkey :: VARCHAR FROM customer WHERE c_custkey % 7 = 3
+    UNION ALL SELECT 'p' || c_custkey, 1, 'disk', 'degraded_pct', '10' FROM customer WHERE c_custkey % 7 = 3
+    UNION ALL SELECT 'p' || c_custkey, 1, 'evaluation', 'profile_name', '"' || lower(c_mktsegment) || '"'
+        FROM customer WHERE c_custkey % 7 = 4
+    UNION ALL SELECT 'p' || c_custkey, 1, 'evaluation', 'own', '{"a":[1,"x"]}' FROM customer WHERE c_custkey % 7 = 4
+    UNION ALL SELECT 'p' || c_custkey, 1, 'mem', 'unhealthy_pct', 'null' FROM customer WHERE c_custkey % 7 = 5
+    UNION ALL SELECT 'p' || c_custkey, 1, 'mem', 'degraded_pct', '15' FROM customer WHERE c_custkey % 7 = 5
+),
+wide AS (
+    SELECT profile, section, key, max(value) FILTER (WHERE rank = 0) AS base, max(value) FILTER (WHERE rank = 1) AS file
+    FROM given GROUP BY profile, section, key
+)
+SELECT profile, section, key, coalesce(file, base) AS value,
+    CASE WHEN file IS NULL OR file = base OR try_cast(file AS DOUBLE) = try_cast(base AS DOUBLE) THEN 'default'
+         ELSE 'file' END AS source
+FROM wide"""
+SQL["iso_forms"] = """
+WITH parts AS (
+    SELECT event_id, ts, CAST(event_id % 8 AS INTEGER) AS form,
+        lpad(CAST(isoyear(ts) AS VARCHAR), 4, '0') AS y, lpad(CAST(week(ts) AS VARCHAR), 2, '0') AS w, isodow(ts) AS d
+    FROM events)
+SELECT event_id,
+    CASE form WHEN 0 THEN strftime(ts, '%Y%m%dT%H%M%S') WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H')
+        WHEN 2 THEN strftime(ts, '%Y%m%d') WHEN 3 THEN y || '-W' || w || '-' || d
+        WHEN 4 THEN y || 'W' || w || d || strftime(ts, 'T%H%M')
+        WHEN 5 THEN strftime(ts, '%Y-%m-%d %H:%M:%S,%f+0130')
+        WHEN 6 THEN strftime(ts, '%Y%m%dx%H:%M:%S.%f-19:30:15') ELSE '2026-W54-1' END AS text,
+    CASE form WHEN 0 THEN epoch_us(date_trunc('second', ts)) WHEN 1 THEN epoch_us(date_trunc('hour', ts))
+        WHEN 2 THEN epoch_us(date_trunc('day', ts)) WHEN 3 THEN epoch_us(date_trunc('day', ts))
+        WHEN 4 THEN epoch_us(date_trunc('minute', ts)) WHEN 5 THEN epoch_us(ts) - 5400000000
+        WHEN 6 THEN epoch_us(ts) + 70215000000 END AS micros
+FROM parts"""
+
 _BY_PROFILE = verdicts(
     source="named",
     cpu=("coalesce(cpu_degraded_factor, 0.85e0)", "coalesce(cpu_unhealthy_factor, 1.25e0)"),

@@ -206,6 +206,42 @@ def threshold_layers(spark, sf):
     return thresholds.resolve_layers(threshold_layers_of(spark, sf))
 
 
+@query
+def threshold_documents(spark, sf):
+    """Settings from one JSON document per customer: broken ones, no objects, unknown and odd sections among them."""
+    documents = er.load(spark, sf, "customer").selectExpr(
+        "concat('p', c_custkey) AS profile",
+        """CASE c_custkey % 7
+             WHEN 0 THEN '{"cpu": {"degraded_factor": 0.5}'
+             WHEN 1 THEN '["cpu"]'
+             WHEN 2 THEN concat('{"cpu": 5, "mem": {"degraded_pct": ', c_custkey % 50, '.50}}')
+             WHEN 3 THEN concat('{"gpu": {"degraded_pct": 1}, "disk": {"spare_pct": ', c_custkey, ', "degraded_pct": 10}}')
+             WHEN 4 THEN concat(' {"evaluation": {"profile_name": "', lower(c_mktsegment), '", "own": {"a": [1, "x"]}}, "mem": [3]}')
+             WHEN 5 THEN '{"mem": {"unhealthy_pct": null, "degraded_pct": 15}}'
+             ELSE '{"cpu": {"degraded_factor": 0.5}} x' END AS document""",
+    )
+    return thresholds.resolve_layers(thresholds.document_layers(documents))
+
+
+@query
+def iso_forms(spark, sf):
+    """Times of events in basic, week, shortened and offset forms, read back as microseconds."""
+    week = "extract(YEAROFWEEK FROM ts), weekofyear(ts), weekday(ts) + 1"
+    texts = er.load(spark, sf, "events").selectExpr(
+        "event_id",
+        f"""CASE event_id % 8
+              WHEN 0 THEN date_format(ts, "yyyyMMdd'T'HHmmss")
+              WHEN 1 THEN date_format(ts, "yyyy-MM-dd'T'HH")
+              WHEN 2 THEN date_format(ts, 'yyyyMMdd')
+              WHEN 3 THEN format_string('%04d-W%02d-%d', {week})
+              WHEN 4 THEN concat(format_string('%04dW%02d%d', {week}), date_format(ts, "'T'HHmm"))
+              WHEN 5 THEN date_format(ts, "yyyy-MM-dd HH:mm:ss,SSSSSS'+0130'")
+              WHEN 6 THEN date_format(ts, "yyyyMMdd'x'HH:mm:ss.SSSSSS'-19:30:15'")
+              ELSE '2026-W54-1' END AS text""",
+    )
+    return texts.select("event_id", "text", F.unix_micros(parse_timestamp(F.col("text"))).alias("micros"))
+
+
 def threshold_profiles(spark, sf) -> DataFrame:
     return thresholds.thresholds_table(thresholds.resolve_layers(threshold_layers_of(spark, sf)))
 

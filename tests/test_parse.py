@@ -1,4 +1,5 @@
 import json
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +93,30 @@ def test_timestamps(spark, text, ok):
     assert (table.select(parse_timestamp(F.col("t"))).first()[0] is not None) is ok
 
 
+def test_times_equal_the_standard_library(spark):
+    """Every combination of date, separator, time and offset is read, or refused, as Python does."""
+    dates = ["2026-02-28", "20260228", "2026-W09-6", "2026W096", "2026-W53", "2025-W53-1", "2020W537", "2026-02-30",
+             "2026-13-01", "2026-0228", "202602", "2026-W00-1", "0001-01-01", "2026-W01-8", "2026W01-1"]
+    times = ["", "T09", "T0930", "T09:30", "T093005", "T09:30:05", "T09:30:05.1", "T093005,1234567", " 23:59:59.999999",
+             "_10:00", "T24:30", "T9:30", "T09:3005", "T0930:05", "T", "T09:30:05."]
+    offsets = ["", "Z", "+05", "-0530", "+05:30", "+23:59", "-24:00", "+05:30:15", "+053015", "+05:60", "z", "+5"]
+    texts = [d + t + o for d in dates for t in times for o in (offsets if t else [""])]
+    table = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    found = {r.t: r.m for r in table.select("t", F.unix_micros(parse_timestamp(F.col("t"))).alias("m")).collect()}
+    start = datetime(1970, 1, 1, tzinfo=timezone.utc)
+    wrong = []
+    for text in texts:
+        try:
+            told = datetime.fromisoformat(text)
+            told = told if told.tzinfo else told.replace(tzinfo=timezone.utc)
+            wanted = (told - start) // timedelta(microseconds=1)
+        except ValueError:
+            wanted = None
+        if found[text] != wanted:
+            wrong.append(text)
+    assert not wrong, wrong
+
+
 def test_rounding_follows_the_binary_value(spark):
     values = [2.675, 1.005, 0.125, 0.375, -2.675, 1e9 + 0.3, 0.0, 4.5, 2.987654, -0.001]
     values += [i / 1000 for i in range(-300, 300, 7)]

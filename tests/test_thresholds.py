@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from vigil.operators.profiles import evaluate_by_profile, verdict_changes, verdict_matrix
-from vigil.sources.thresholds import resolve_layers, thresholds_table
+from vigil.sources.thresholds import document_layers, read_documents, resolve_layers, thresholds_table
 
 LAYERS = "profile string, layer string, section string, key string, value string"
 def resolved(spark, rows):
@@ -36,6 +36,41 @@ def test_layers(spark):
     }
 
 
+def test_documents(spark, tmp_path):
+    """Threshold files: broken ones and odd sections fall back to defaults, the last of repeated members counts."""
+    files = {
+        "a": b'{"cpu": {"degraded_factor": 0.5, "degraded_factor": 0.60}, "disk": {"own key": "x\\"y", "on": true}}',
+        "b": b'{"cpu": {"degraded_factor": 0.5}} trailing',
+        "c": b'{"mem": 7, "gpu": {"degraded_pct": 1}, "disk": {}}',
+        "d": b" ",
+        "e": b'{"mem": {"degraded_pct": 9\xff}}',
+        "f": b'\n {"mem": {"degraded_pct": 15, "unhealthy_pct": 1e1}}\n',
+        "g": b"null",
+    }
+    for name, content in files.items():
+        (tmp_path / f"{name}.json").write_bytes(content)
+    (tmp_path / "notes.txt").write_text("{}")
+    table = resolve_layers(document_layers(read_documents(spark, str(tmp_path)))).collect()
+    assert {r["profile"] for r in table} == set(files)
+    own = {(r["profile"], r["section"], r["key"]): (r["value"], r["source"]) for r in table
+           if r["source"] != "default" or r["profile"] == "f" and r["section"] == "mem"}
+    assert own == {
+        ("a", "cpu", "degraded_factor"): ("0.6", "file"),
+        ("a", "disk", "own key"): ('"x\\"y"', "file"),
+        ("a", "disk", "on"): ("true", "file"),
+        ("f", "mem", "degraded_pct"): ("15", "default"),
+        ("f", "mem", "unhealthy_pct"): ("10.0", "file"),
+    }
+    assert all(sum(r["profile"] == p for r in table) == 7 for p in "bcdeg")
+
+
+def test_later_rows_of_a_layer_win(spark):
+    rows = [("p", "file", "cpu", "degraded_factor", v, i) for i, v in enumerate(["0.9", "0.5", "0.7"])]
+    for given in (rows, rows[::-1]):
+        table = resolve_layers(spark.createDataFrame(given, LAYERS + ", position int"))
+        assert table.where("key = 'degraded_factor' AND section = 'cpu'").first()["value"] == "0.7"
+
+
 def test_hash(spark):
     rows = [("p", "file", "cpu", "degraded_factor", "0.5"), ("p", "file", "disk", "own", "1"),
             ("q", "file", "gpu", "x", "1")]

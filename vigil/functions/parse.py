@@ -33,6 +33,17 @@ _ISO = (
     r"([T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?(Z|[+-]\d{2}:\d{2})?)?$"
 )
 
+# The other forms: basic dates, week dates, any one separator, times cut short, offsets of any precision.
+_ISO_PARTS = (
+    "year date_dash month day week_dash week weekday hour time_colon minute second fraction"
+    " offset sign offset_hour offset_colon offset_minute offset_second"
+).split()
+_ISO_OTHER = (
+    r"(?s)^(?!0000)(\d{4})(?:(-?)(\d{2})\2(\d{2})|(-?)W(\d{2})(?:\5([1-7]))?)"
+    r"(?:.(\d{2})(?:(:?)(\d{2})(?:\9(\d{2})(?:[.,](\d+|(?=[Z+-])))?)?)?"
+    r"(Z|([+-])(\d{2})(?:(:?)(\d{2})(?:\16(\d{2}))?)?)?)?$"
+)
+
 
 def strip(line: Column) -> Column:
     plain = F.startswith(line, F.lit("{")) & F.endswith(line, F.lit("}"))
@@ -149,9 +160,36 @@ def is_timestamp(text: Column) -> Column:
 
 
 def parse_timestamp(text: Column) -> Column:
-    """Instant of an ISO 8601 text; no offset means UTC, unreadable gives null."""
+    """Instant of an ISO 8601 text; no offset means UTC, unreadable gives null.
+
+    Calendar and week dates in extended and basic form, with any one character before the time. Only texts that
+    the usual form does not settle are taken apart.
+    """
     plain = F.translate(text, ",", ".")
-    return F.when(text.rlike(_ISO), plain.try_cast("timestamp"))
+    usual = F.when(text.rlike(_ISO), plain.try_cast("timestamp"))
+    return F.coalesce(usual, F.when(text.rlike(_ISO_OTHER), _from_parts(text)))
+
+
+def _from_parts(text: Column) -> Column:
+    """Instant of a text that matches ``_ISO_OTHER``; a part out of its range gives null."""
+    part = {name: F.regexp_extract(text, _ISO_OTHER, i) for i, name in enumerate(_ISO_PARTS, 1)}
+
+    def number(name: str, absent: int = 0) -> Column:
+        return F.when(part[name] == "", F.lit(absent)).otherwise(part[name].try_cast("int"))
+
+    # the week of January 4 is the first, that of December 28 the last
+    first = F.date_trunc("week", F.concat(part["year"], F.lit("-01-04")).try_cast("timestamp_ntz")).cast("date")
+    weeks = F.weekofyear(F.concat(part["year"], F.lit("-12-28")).try_cast("date"))
+    days = (number("week") - 1) * 7 + number("weekday", 1) - 1
+    by_week = F.when(number("week").between(1, weeks), F.date_add(first, days).cast("string"))
+    by_month = F.concat_ws("-", part["year"], part["month"], part["day"])
+    date = F.when(part["week"] == "", by_month).otherwise(by_week)
+    time = F.concat_ws(":", *[F.lpad(part[name], 2, "0") for name in ("hour", "minute", "second")])
+    local = F.concat(date, F.lit("T"), time, F.lit("."), F.rpad(part["fraction"], 6, "0"), F.lit("Z"))
+    ahead = number("offset_hour") * 3600 + number("offset_minute") * 60 + number("offset_second")
+    ahead = F.when(part["sign"] == "-", -ahead).otherwise(ahead)
+    micros = F.unix_micros(local.try_cast("timestamp")) - ahead.cast("bigint") * 1_000_000
+    return F.when(F.abs(ahead) < 86_400, F.timestamp_micros(micros))
 
 
 def report_columns() -> list[Column]:

@@ -1,15 +1,18 @@
 """Threshold settings from layers: defaults, then file, then environment.
 
 Layer rows are ``(profile, layer, section, key, value)`` with ``layer`` one of
-``file`` and ``env``. File values are JSON text; environment values are plain
+``file`` and ``env``. Of several rows for one key of a layer the one of the
+greatest ``position`` counts (a column of its own, if there is one), among
+equals the one whose value sorts last. File values are JSON text; environment values are plain
 text that counts only if it can be read as the key's type.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vigil.functions.health import DEFAULT_THRESHOLDS
+from vigil.functions.parse import ROOT, strip, with_json
 
 # settings by section, with their default as JSON text
 DEFAULT_SETTINGS = {
@@ -25,6 +28,50 @@ def _quoted(text):
     return F.to_json(F.array(text)).substr(F.lit(2), F.length(F.to_json(F.array(text))) - 2)
 
 
+def read_documents(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
+    """(profile, document): the JSON files of a folder, named after them; null where a file is not UTF-8.
+
+    Spark passes over files of no bytes, and those whose names begin with ``_`` or ``.``: they give no profile.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    text = F.col("content").cast("string")
+    return files.select(
+        F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1).alias("profile"),
+        F.when(F.is_valid_utf8(text), text).alias("document"),
+    )
+
+
+def document_layers(documents: DataFrame) -> DataFrame:
+    """``file`` layer rows of JSON documents (profile, document), one per key of a known section.
+
+    A document that is null, broken or no object gives one row without a section, so its profile
+    has all defaults; a section that is no object counts as absent. Of repeated members the last
+    one counts. Values are JSON text: whole numbers as they stand, others as doubles.
+    """
+    known = ", ".join(f"'{s}', try_variant_get(obj, '{ROOT}.{s}', 'variant')" for s in SECTIONS)
+    parsed = with_json(documents.select("profile", "document"), strip(F.col("document")))
+    sections = parsed.select("profile", F.expr(f"stack({len(SECTIONS)}, {known}) AS (section, members)"))
+    is_object = F.expr("startswith(schema_of_variant(members), 'OBJECT')")
+    sections = sections.withColumn("members", F.when(is_object, F.col("members")))
+    rows = sections.lateralJoin(
+        documents.sparkSession.tvf.variant_explode_outer(F.col("members").outer())
+    )
+    kind = F.expr("schema_of_variant(value)")
+    text = (
+        F.when(kind == "VOID", F.lit("null"))
+        .when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.expr("CAST(try_variant_get(value, '$', 'double') AS STRING)"))
+        .otherwise(F.to_json("value"))
+    )
+    given = F.col("key").isNotNull()
+    return rows.select(
+        "profile",
+        F.lit("file").alias("layer"),
+        F.when(given, F.col("section")).alias("section"),
+        "key",
+        F.when(given, text).alias("value"),
+    ).distinct()
+
+
 def resolve_layers(layers: DataFrame) -> DataFrame:
     """Winning value and its source per ``(profile, section, key)``.
 
@@ -46,7 +93,7 @@ def resolve_layers(layers: DataFrame) -> DataFrame:
     )
     base = layers.select("profile").distinct().select("profile", F.inline(defaults))
     given = layers.filter(F.col("section").isin(SECTIONS)).select(
-        "profile", "layer", "section", "key", "value"
+        "profile", "layer", "section", "key", "value", position_of(layers).alias("position")
     )
     known_env = F.struct("section", "key").isin(
         *[F.struct(F.lit(s), F.lit(k)) for s, k in DEFAULT_SETTINGS]
@@ -58,20 +105,26 @@ def resolve_layers(layers: DataFrame) -> DataFrame:
     )
     text = F.when(F.col("layer") == "env", env_value).otherwise(F.col("value"))
     rank = F.when(F.col("layer") == "env", 2).when(F.col("layer") == "file", 1).otherwise(0)
+    base = base.withColumn("position", F.lit(0).cast("bigint"))
     rows = base.unionByName(given).withColumn("text", text).withColumn("rank", rank)
+    later = F.struct("position", "text")
     env_set = F.bool_or(F.col("layer") == "env")
-    file_text = F.max(F.when(F.col("layer") == "file", F.col("text")))
+    file_text = F.max(F.when(F.col("layer") == "file", later))["text"]
     default_text = F.max(F.when(F.col("layer") == "default", F.col("text")))
     changed = F.when(
         file_text.try_cast("double").isNotNull() & default_text.try_cast("double").isNotNull(),
         file_text.try_cast("double") != default_text.try_cast("double"),
     ).otherwise(file_text.isNotNull() & ~file_text.eqNullSafe(default_text))
     return rows.groupBy("profile", "section", "key").agg(
-        F.max_by("text", F.when(F.col("text").isNotNull(), F.col("rank"))).alias("value"),
+        F.max(F.when(F.col("text").isNotNull(), F.struct("rank", "position", "text")))["text"].alias("value"),
         F.when(env_set, "env").when(changed, "file").otherwise("default").alias("source"),
     )
 
 
+def position_of(layers: DataFrame) -> Column:
+    return F.col("position").cast("bigint") if "position" in layers.columns else F.lit(0).cast("bigint")
+
+
 def thresholds_table(resolved: DataFrame) -> DataFrame:
     """One row per profile: the six limits, the profile's name and its hash."""
     def limit(section: str, key: str):
