@@ -12,8 +12,6 @@ from vigil.session import settle
 SPREAD = 32
 # Steps into which the range of the order is cut to find where tails begin.
 STEPS = 4096
-# Steps into which the range of the order is cut to find where tails begin.
-STEPS = 4096
 
 
 def tail_rows(
@@ -48,7 +46,6 @@ def tail_rows(
     return kept.withColumn(rank, F.row_number().over(final_cut)).filter(F.col(rank) <= n)
 
 
-
 def large_tails(rows: DataFrame, n: int, keys: Sequence[str], order: Sequence[str], steps: int = STEPS) -> DataFrame:
     """Keep the last ``n`` rows of each group in ascending ``order``, for an n of any size.
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vigil.operators.ordered import with_previous
+from vigil.operators.ranks import counted_values, disc_percentiles
 
 
 def tick_timing(
@@ -56,34 +57,44 @@ def collector_totals(durations: Column) -> Column:
 def tick_rollup(ticks: DataFrame, window: str = "1 day", keys: Sequence[str] = ("node_id",)):
     """Tick figures per key and time window: overruns, mean, median and tail durations.
 
-    Needs ``tick_start``, ``tick_elapsed_ms``, ``sleep_drift_ms`` and ``overrun``.
+    Needs ``tick_start``, ``tick_elapsed_ms``, ``sleep_drift_ms`` and ``overrun``. Ticks are
+    read once and counted per duration; all figures come from these counts, and the exact
+    percentiles from ranges of them, so no task holds all durations of a group. Ticks without
+    a start are in no window; those without a duration count, but have no part in its figures.
     """
+    group = [*keys, "window"]
     ms = F.col("tick_elapsed_ms")
-    return (
-        ticks.groupBy(*keys, F.window("tick_start", window).alias("window"))
-        .agg(
-            F.count(F.lit(1)).alias("ticks"),
-            F.count_if("overrun").alias("overruns"),
-            F.avg(ms).alias("mean_tick_ms"),
-            # exact: counts per distinct duration are merged
-            F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY tick_elapsed_ms)").alias("p50"),
-            F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY tick_elapsed_ms)").alias("p95"),
-            F.max(ms).alias("max_tick_ms"),
-            F.max("sleep_drift_ms").alias("max_drift_ms"),
-        )
-        .select(
-            *keys,
-            F.col("window.start").alias("window_start"),
-            F.col("window.end").alias("window_end"),
-            "ticks",
-            "overruns",
-            (F.col("overruns") / F.col("ticks")).alias("overrun_rate"),
-            "mean_tick_ms",
-            F.col("p50").cast("bigint").alias("p50_tick_ms"),
-            F.col("p95").cast("bigint").alias("p95_tick_ms"),
-            "max_tick_ms",
-            "max_drift_ms",
-        )
+    timed = ticks.withColumn("window", F.window("tick_start", window))
+    counted = counted_values(
+        timed,
+        group,
+        "tick_elapsed_ms",
+        [F.count_if("overrun").alias("overruns"), F.max("sleep_drift_ms").alias("drift")],
+    )
+    figures = counted.groupBy(*group).agg(
+        F.sum("_n").alias("ticks"),
+        F.sum("overruns").alias("overruns"),
+        (F.sum(ms.cast("double") * F.col("_n")) / F.sum(F.when(ms.isNotNull(), F.col("_n")))).alias(
+            "mean_tick_ms"
+        ),
+        F.max(ms).alias("max_tick_ms"),
+        F.max("drift").alias("max_drift_ms"),
+    )
+    shares = disc_percentiles(counted, group, "tick_elapsed_ms", {"p50": "0.5", "p95": "0.95"})
+    names = {name: f"_of_{i}" for i, name in enumerate(group)}
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in names.items()]
+    return figures.join(shares.withColumnsRenamed(names), same, "left").select(
+        *keys,
+        F.col("window.start").alias("window_start"),
+        F.col("window.end").alias("window_end"),
+        "ticks",
+        "overruns",
+        (F.col("overruns") / F.col("ticks")).alias("overrun_rate"),
+        "mean_tick_ms",
+        F.col("p50").cast("bigint").alias("p50_tick_ms"),
+        F.col("p95").cast("bigint").alias("p95_tick_ms"),
+        "max_tick_ms",
+        "max_drift_ms",
     )
 
 
