@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from plain_texts import awkward, classes, distance_within, kept_bytes, lower, nothing, removed_words
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vigil.llm import bpe, common, decontaminate, lm_scoring, minhash_dedup, spans, substring_dedup, suffix_dedup, toxicity
@@ -226,6 +227,60 @@ def test_toxicity_on_held_out_labels(spark):
     assert sum(found[1]) / len(found[1]) > 0.7
 
 
+def plain_score(model, text):
+    """The score from its definition: grams one by one, each distinct one counted once."""
+    data = b" " + text.encode()
+    data = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in data)
+    found = set()
+    for i in range(len(data) - toxicity.GRAM + 1):
+        gram = data[i : i + toxicity.GRAM]
+        if b" " not in gram[1:-1]:
+            found.add((int.from_bytes(gram, "big") * 0x9E3779B97F4A7C15 % 2**64) >> 44)
+    found.discard(0)
+    known = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
+    factor, tilt, constant = model.calibration
+    odds = factor * (model.bias + math.fsum(known.get(b, 0.0) for b in found))
+    odds += tilt * max(0.0, math.log(1 + len(found)) - model.mean_length) + constant
+    return 1 / (1 + math.exp(-min(50, max(-50, odds))))
+
+
+def test_toxicity_scores_equal_plain_ones(spark):
+    docs = common.read_table(spark, FOLDER, "documents").select("doc_id", "text")
+    more = spark.createDataFrame([(-1, None), (-2, ""), (-3, "Straße STRASSE ßß a b c"), (-4, "idiot " * 9000)], docs.schema)
+    model = toxicity.train(docs, common.read_table(spark, FOLDER, "labels"))
+    rows = toxicity.score(docs.unionByName(more), model).collect()
+    assert len(rows) == docs.count() + 4
+    for r in rows:
+        assert abs(r.tox_score - plain_score(model, r.text or "")) < 1e-9
+
+
+def test_calibration_maximises_its_likelihood():
+    draw = np.random.default_rng(3)
+    raw, beyond = draw.normal(size=500) * 3, np.maximum(0, draw.normal(size=500))
+    toxic = (draw.random(500) < toxicity.sigmoid(0.5 * raw - beyond - 1)).astype(float)
+
+    def loss(at, prior):
+        z = at[0] * raw + at[1] * beyond + at[2]
+        off = (at[0] - 1) ** 2 + at[1] ** 2 + at[2] ** 2
+        return np.sum(np.logaddexp(0, z) - toxic * z) + prior * off / 2
+
+    for prior in (1.0, 10.0):
+        at = np.array(toxicity.calibrated(raw, beyond, toxic, prior))
+        least = loss(at, prior)
+        assert all(loss(at + step, prior) >= least for step in draw.normal(size=(200, 3)) * 0.01)
+    assert np.allclose(toxicity.calibrated(raw, beyond, toxic, 1e9), (1, 0, 0), atol=1e-4)
+
+
+def test_long_clean_texts_are_left_alone(spark):
+    docs = common.read_table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text")
+    labels = common.read_table(spark, "/root/testdata/sf0.1", "labels")
+    scored = toxicity.score(docs, toxicity.train(docs, labels)).join(labels, "doc_id")
+    clean = scored.where((common.fold(5) == 0) & (F.col("toxic") == 0))
+    share = F.avg((F.col("tox_score") >= 0.5).cast("int"))
+    long, rest = (clean.where(kept).agg(share).first()[0] for kept in ("length(text) > 5000", "length(text) <= 5000"))
+    assert long < 0.03 and rest < 0.02
+
+
 def test_swaps_lower_the_weight_of_groups(spark):
     draw = random.Random(7)
     rows, labels = [], []

@@ -6,6 +6,11 @@ of its group, and training adds the squared difference of the two scores
 (as log-odds) to the loss. Weights that only tell groups apart thus cost more
 than they earn, and neutral mentions of a group stay below the threshold.
 
+Summed weights drift with the length of a text and overstate what was learned, so
+log-odds are calibrated: each part of the sample is scored by a model of the other
+parts, and a logistic fit of the labels to these scores and to the length beyond the
+mean corrects the final model. A prior holds the correction near none in small samples.
+
 Training reads a bounded sample of the labelled rows (``sample_rows``); scoring
 is one pass over the whole texts without a shuffle, with a model of at most
 ``features`` weights.
@@ -13,7 +18,7 @@ is one pass over the whole texts without a shuffle, with a model of at most
 Defined results: null and empty texts score the model's prior; labels other
 than 0 and 1, and labels without a doc_id, are ignored; a doc_id labelled twice
 counts as toxic if any label says so; with no labelled rows, or only one kind,
-every score is the share of toxic labels (0 without labels). Repeated documents
+every score is next to 0 (no labels, or none toxic) or to 1 (all toxic). Repeated documents
 are scored alike, one row each.
 """
 
@@ -91,10 +96,10 @@ def gram_buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mixed.astype(np.int32), offsets
 
 
-def distinct_buckets(texts: list[bytes], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, bucket) pairs, of the buckets marked in ``wanted`` if given."""
+def distinct_buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, bucket) pairs."""
     buckets, offsets = gram_buckets(texts)
-    at = np.flatnonzero(buckets if wanted is None else wanted[buckets])
+    at = np.flatnonzero(buckets)
     owner = np.searchsorted(offsets, at, side="right") - 1
     pairs = np.unique(owner.astype(np.int64) * BUCKETS + buckets[at])
     return pairs // BUCKETS, (pairs % BUCKETS).astype(np.int32)
@@ -105,13 +110,28 @@ class Model:
     buckets: np.ndarray  # sorted
     weights: np.ndarray
     bias: float
+    # correction of the log-odds: factor, weight of the length beyond the mean, constant
+    calibration: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    mean_length: float = 0.0
+
+    def raw(self, rows: np.ndarray, buckets: np.ndarray, texts: int) -> np.ndarray:
+        """Log-odds, without correction, from distinct (text, bucket) pairs."""
+        if not len(self.buckets):
+            return np.full(texts, self.bias)
+        at = np.minimum(np.searchsorted(self.buckets, buckets), len(self.buckets) - 1)
+        known = self.buckets[at] == buckets
+        return self.bias + np.bincount(rows[known], weights=self.weights[at[known]], minlength=texts)
 
     def log_odds(self, texts: list[bytes]) -> np.ndarray:
-        wanted = np.zeros(BUCKETS, dtype=bool)
-        wanted[self.buckets] = True
-        rows, buckets = distinct_buckets(texts, wanted)
-        found = self.weights[np.searchsorted(self.buckets, buckets)]
-        return self.bias + np.bincount(rows, weights=found, minlength=len(texts))
+        rows, buckets = distinct_buckets(texts)
+        factor, tilt, constant = self.calibration
+        beyond = beyond_mean(np.bincount(rows, minlength=len(texts)), self.mean_length)
+        return factor * self.raw(rows, buckets, len(texts)) + tilt * beyond + constant
+
+
+def beyond_mean(grams: np.ndarray, mean: float) -> np.ndarray:
+    """How far the logarithm of a text's distinct grams lies above the mean, at least 0."""
+    return np.maximum(0.0, np.log1p(grams) - mean)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -181,6 +201,73 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int, folds:
     return common.whole_texts(docs).join(F.broadcast(told), "did").select("text", "toxic")
 
 
+def flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) pairs of bucket sets."""
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    return rows, np.concatenate([*sets, np.zeros(0, dtype=np.int32)])
+
+
+def chosen_buckets(sets: list[np.ndarray], toxic: np.ndarray, bound: int, least_gain: float) -> np.ndarray:
+    """The at most ``bound`` buckets whose presence tells the kinds apart by ``least_gain`` or more, sorted.
+
+    The gain is the log-likelihood ratio of a presence test; rows with a bucket must be two or more.
+    """
+    seen = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
+    for kind, buckets in zip(toxic.astype(int), sets, strict=True):
+        seen[kind][buckets] += 1
+    n = [(toxic == 0).sum(), (toxic == 1).sum()]
+    rate = [(seen[k] + 0.5) / (n[k] + 1) for k in (0, 1)]
+    mean = (seen[0] + seen[1] + 1) / (n[0] + n[1] + 2)
+    gain = sum(
+        seen[k] * np.log(rate[k] / mean) + (n[k] - seen[k]) * np.log((1 - rate[k]) / (1 - mean)) for k in (0, 1)
+    )
+    gain[seen[0] + seen[1] < 2] = 0
+    best = np.argsort(-gain, kind="stable")[:bound]
+    return np.sort(best[gain[best] > least_gain]).astype(np.int32)
+
+
+def fit(
+    sets: list[np.ndarray],
+    swapped: list[np.ndarray | None],
+    toxic: np.ndarray,
+    *,
+    features: int,
+    per_row: float,
+    least_gain: float,
+    pull: float,
+    decay: float,
+    steps: int,
+) -> Model:
+    """The model of rows given as bucket sets, each with that of its swapped text, if there is one."""
+    others = [i for i, s in enumerate(swapped) if s is not None]
+    pairs = np.array([(i, len(sets) + k) for k, i in enumerate(others)], dtype=np.int64).reshape(-1, 2)
+    # few labelled rows can't tell many buckets apart
+    bound = min(features, max(32, int(len(toxic) * per_row)))
+    chosen = chosen_buckets(sets, toxic, bound, least_gain)
+    wanted = np.full(BUCKETS, -1, dtype=np.int64)
+    wanted[chosen] = np.arange(len(chosen))
+    rows, buckets = flat([*sets, *(swapped[i] for i in others)])
+    columns = wanted[buckets]
+    weights, bias = descend(
+        rows[columns >= 0], columns[columns >= 0], toxic, pairs, len(chosen), pull=pull, decay=decay, steps=steps
+    )
+    return Model(chosen, weights, bias)
+
+
+def calibrated(raw: np.ndarray, beyond: np.ndarray, toxic: np.ndarray, prior: float) -> tuple[float, float, float]:
+    """Factor, weight of the length and constant that fit the labels best, held near (1, 0, 0) by ``prior``."""
+    given = np.stack([raw, beyond, np.ones(len(raw))], axis=1)
+    start = np.array([1.0, 0.0, 0.0])
+    at = start.copy()
+    for _ in range(50):
+        p = sigmoid(given @ at)
+        slope = given.T @ (p - toxic) + prior * (at - start)
+        curve = (given * (p * (1 - p))[:, None]).T @ given + prior * np.eye(3)
+        at -= np.linalg.solve(curve, slope)
+    # a correction that turns the order of scores round is none
+    return tuple(map(float, at)) if np.isfinite(at).all() and at[0] > 0 else (1.0, 0.0, 0.0)
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -188,60 +275,50 @@ def train(
     sample_rows: int = 6000,
     features: int = 4096,
     per_row: float = 0.6,
+    least_gain: float = 4.0,
     folds: int = 5,
     held_out: int = 0,
     pull: float = 1.0,
     decay: float = 1e-3,
     steps: int = 300,
+    parts: int = 2,
+    prior: float = 10.0,
 ) -> Model:
     """Fit the model on a bounded sample of the labelled rows.
 
-    The driver receives at most ``sample_rows`` sets of gram buckets. The
-    ``features`` buckets (``per_row`` for each row at most) whose frequency differs
-    most between the two kinds take part in the descent.
+    The driver receives at most ``sample_rows`` sets of gram buckets. Of them the
+    ``features`` buckets (``per_row`` for each row at most) that differ most between the two
+    kinds, by a log-likelihood gain above ``least_gain``, take part in the descent. The scores
+    that calibrate the model come from ``parts`` models that did not see the rows scored; where
+    these rows are of one kind only, nothing is corrected.
     """
     found = (
         labelled_sample(docs, labels, sample_rows, folds, held_out)
         .mapInArrow(sampled_features, "toxic int, buckets binary, swapped binary")
-        .orderBy(F.xxhash64("buckets"))
+        .orderBy(F.xxhash64("buckets"), "toxic")
         .toArrow()
     )
     toxic = np.asarray(found.column("toxic")).astype(float)
-    empty = Model(np.zeros(0, dtype=np.int32), np.zeros(0), -50.0)
     if not len(toxic) or toxic.min() == toxic.max():
-        share = float(toxic.mean()) if len(toxic) else 0.0
-        empty.bias = 50.0 if share == 1 else -50.0
-        return empty
-    sets = [np.frombuffer(b, dtype=np.int32) for b in found.column("buckets").to_pylist()]
-    swaps = [(i, np.frombuffer(b, dtype=np.int32)) for i, b in enumerate(found.column("swapped").to_pylist()) if b is not None]
-    pairs = np.array([(i, len(sets) + k) for k, (i, _) in enumerate(swaps)], dtype=np.int64).reshape(-1, 2)
-    seen = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
-    for kind, buckets in zip(toxic.astype(int), sets, strict=True):
-        seen[kind][buckets] += 1
-    # log-likelihood gain of a presence test, signed parts dropped
-    n = [(toxic == 0).sum(), (toxic == 1).sum()]
-    rate = [(seen[k] + 0.5) / (n[k] + 1) for k in (0, 1)]
-    mean = (seen[0] + seen[1] + 1) / (n[0] + n[1] + 2)
-    gain = sum(
-        seen[k] * np.log(rate[k] / mean) + (n[k] - seen[k]) * np.log((1 - rate[k]) / (1 - mean)) for k in (0, 1)
-    )
-    gain[seen[0] + seen[1] < 2] = 0
-    # few labelled rows can't tell many buckets apart
-    bound = min(features, max(32, int(len(toxic) * per_row)))
-    chosen = np.sort(np.argsort(-gain, kind="stable")[:bound]).astype(np.int32)
-    chosen = chosen[gain[chosen] > 0]
-    wanted = np.full(BUCKETS, -1, dtype=np.int64)
-    wanted[chosen] = np.arange(len(chosen))
-    rows, columns = [], []
-    for i, buckets in enumerate([*sets, *(s for _, s in swaps)]):
-        kept = wanted[buckets]
-        kept = kept[kept >= 0]
-        rows.append(np.full(len(kept), i))
-        columns.append(kept)
-    weights, bias = descend(
-        np.concatenate(rows), np.concatenate(columns), toxic, pairs, len(chosen), pull=pull, decay=decay, steps=steps
+        return Model(np.zeros(0, dtype=np.int32), np.zeros(0), 50.0 if len(toxic) and toxic[0] == 1 else -50.0)
+    sets, swapped = (
+        [None if b is None else np.frombuffer(b, dtype=np.int32) for b in found.column(name).to_pylist()]
+        for name in ("buckets", "swapped")
     )
-    return Model(chosen, weights, bias)
+    settings = dict(features=features, per_row=per_row, least_gain=least_gain, pull=pull, decay=decay, steps=steps)
+    model = fit(sets, swapped, toxic, **settings)
+    sizes = np.array([len(s) for s in sets])
+    model.mean_length = float(np.log1p(sizes).mean())
+    part = np.arange(len(sets)) % parts
+    raw = np.zeros(len(sets))
+    for this in range(parts):
+        rest, own = np.flatnonzero(part != this), np.flatnonzero(part == this)
+        if not len(rest) or toxic[rest].min() == toxic[rest].max():
+            return model
+        partial = fit([sets[i] for i in rest], [swapped[i] for i in rest], toxic[rest], **settings)
+        raw[own] = partial.raw(*flat([sets[i] for i in own]), len(own))
+    model.calibration = calibrated(raw, beyond_mean(sizes, model.mean_length), toxic, prior)
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
