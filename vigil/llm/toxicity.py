@@ -258,12 +258,23 @@ def calibrated(raw: np.ndarray, beyond: np.ndarray, toxic: np.ndarray, prior: fl
     """Factor, weight of the length and constant that fit the labels best, held near (1, 0, 0) by ``prior``."""
     given = np.stack([raw, beyond, np.ones(len(raw))], axis=1)
     start = np.array([1.0, 0.0, 0.0])
+
+    def loss(at: np.ndarray) -> float:
+        z = given @ at
+        return float(np.sum(np.logaddexp(0.0, z) - toxic * z) + prior * np.sum((at - start) ** 2) / 2)
+
     at = start.copy()
-    for _ in range(50):
+    for _ in range(100):
         p = sigmoid(given @ at)
         slope = given.T @ (p - toxic) + prior * (at - start)
         curve = (given * (p * (1 - p))[:, None]).T @ given + prior * np.eye(3)
-        at -= np.linalg.solve(curve, slope)
+        step = np.linalg.solve(curve, slope)
+        # whole steps can overshoot where most scores are far from the threshold
+        while loss(at - step) > loss(at) and np.abs(step).max() > 1e-9:
+            step /= 2
+        at = at - step
+        if np.abs(step).max() <= 1e-9:
+            break
     # a correction that turns the order of scores round is none
     return tuple(map(float, at)) if np.isfinite(at).all() and at[0] > 0 else (1.0, 0.0, 0.0)
 
