@@ -389,6 +389,18 @@ meta AS (
 )"""
 SQL["summary_meta"] = f"{SUMMARY},{META}\nSELECT * FROM meta"
 
+SQL["ranked_reasons"] = f"""{BASE},
+counts AS (
+    SELECT node_id, reason, count(*) AS count FROM (SELECT node_id, unnest(reasons) AS reason FROM r)
+    GROUP BY node_id, reason
+)
+SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY count DESC, reason) AS place FROM counts"""
+SQL["fleet_reasons"] = f"""{BASE},
+counts AS (
+    SELECT reason, count(*) AS count FROM (SELECT unnest(reasons) AS reason FROM r) GROUP BY reason
+)
+SELECT *, row_number() OVER (ORDER BY count DESC, reason) AS place FROM counts"""
+
 SQL["legacy_summary"] = f"""{BASE},
 last AS (SELECT * FROM r ORDER BY event_id DESC LIMIT 1),
 counts AS (

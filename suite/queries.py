@@ -333,6 +333,16 @@ def top_reasons(spark, sf):
     )
 
 
+@query
+def ranked_reasons(spark, sf):
+    return summarize.ranked_reasons(er.reports(spark, sf))
+
+
+@query
+def fleet_reasons(spark, sf):
+    return summarize.ranked_reasons(er.reports(spark, sf), keys=())
+
+
 @query
 def health_transitions(spark, sf):
     return summarize.health_transitions(er.reports(spark, sf), ORDER, er.SEGMENT)

@@ -4,7 +4,9 @@ from decimal import Decimal
 from math import ceil
 
 import pytest
-from vigil.operators.ranks import counted_values, disc_percentiles
+from pyspark.sql import functions as F
+
+from vigil.operators.ranks import counted_values, disc_percentiles, ranked
 from vigil.operators.ticks import tick_rollup
 
 SHARES = {"least": 0, "low": "0.05", "half": 0.5, "most": 0.95, "all": 1}
@@ -69,3 +71,19 @@ def test_rollup_of_awkward_ticks(spark):
         "idle": (1, 0, None, None, None, None, 1),
         None: (1, 0, 8.0, 8, 8, 8, None),
     }
+
+
+@pytest.mark.parametrize("ranges", [1, 9])
+@pytest.mark.parametrize("keys", [["g"], []])
+def test_numbers_equal_sorting(spark, keys, ranges):
+    pick = random.Random(2)
+    rows = [(pick.choice(["a", "a", "b", None]), pick.randrange(5), f"w{i:03}") for i in range(400)]
+    table = spark.createDataFrame(rows, "g string, n int, w string")
+    got = {(r.g, r.n, r.w): r.place for r in ranked(table, keys, [F.col("n").desc(), F.col("w")], ranges=ranges).collect()}
+    want, seen = {}, {}
+    for row in sorted(rows, key=lambda r: (-r[1], r[2])):
+        group = row[0] if keys else 0
+        seen[group] = seen.get(group, 0) + 1
+        want[row] = seen[group]
+    assert got == want
+    assert ranked(table.limit(0), keys, [F.col("n").desc()]).collect() == []

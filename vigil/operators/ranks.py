@@ -67,9 +67,7 @@ def disc_percentiles(
         lambda w: (w["rank"] > F.col("_before")) & (w["rank"] <= F.col("_before") + F.col("_size")),
     )
     found = sizes.select(*keys, "_range", "_before", held.alias("_wanted")).where(F.size("_wanted") > 0)
-    names = {name: f"_on_{i}" for i, name in enumerate([*keys, "_range"])}
-    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in names.items()]
-    rows = known.select(*keys, "_range", value, "_n").join(found.withColumnsRenamed(names), same)
+    rows = _with(known.select(*keys, "_range", value, "_n"), found, [*keys, "_range"])
     within = Window.partitionBy(*keys, "_range").orderBy(value)
     upto = F.col("_before") + F.sum("_n").over(within.rowsBetween(Window.unboundedPreceding, 0))
     placed = rows.select(*keys, value, "_n", "_wanted", upto.alias("_upto"))
@@ -85,6 +83,40 @@ def disc_percentiles(
     return placed.groupBy(*keys).agg(*[at(name) for name in shares])
 
 
+def ranked(
+    rows: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    name: str = "place",
+    ranges: int | None = None,
+) -> DataFrame:
+    """Number rows 1, 2, … per group in ``order``; without ``keys`` all rows are one group.
+
+    Rows are written once in ranges of (keys, order) and numbered within their range; what comes
+    before it in the group is known from the sizes of the ranges, so a group of any size is
+    spread over tasks. Rows that ``order`` does not tell apart are numbered in any order.
+    """
+    spark, keys = rows.sparkSession, list(keys)
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(ranges, *keys, *order)
+    placed = settle(placed.withColumn("_range", F.spark_partition_id()), "ranks")
+    sizes = placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    # one row per group and range
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*keys, "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    numbered = placed.withColumn("_at", within)
+    joined = _with(numbered, sizes, [*keys, "_range"])
+    return joined.select(*rows.columns, (F.col("_before") + F.col("_at")).cast("bigint").alias(name))
+
+
+def _with(rows: DataFrame, figures: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows joined with figures of their range; a null key matches itself."""
+    names = {name: f"_on_{i}" for i, name in enumerate(on)}
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in names.items()]
+    return rows.join(figures.withColumnsRenamed(names), same).drop(*names.values())
+
+
 def _rank(size: Column, share: float | str) -> Column:
     """Rank, from 1, of the value with ``share`` of ``size`` rows at or below it."""
     exact = Decimal(str(share))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from vigil.functions.numbers import round_exact
 from vigil.functions.parse import parse_timestamp
 from vigil.operators import trends
+from vigil.operators.ranks import ranked
 
 # Columns of the newest report that a summary shows.
 LATEST_SIGNALS = [
@@ -213,6 +214,15 @@ def top_reasons(
     return ranked if k is None or k <= 0 else ranked.filter(F.col("place") <= k)
 
 
+def ranked_reasons(reports: DataFrame, keys: Sequence[str] = ("node_id",)) -> DataFrame:
+    """Every reason by (-count, reason), with its place; no ``keys`` ranks those of all reports together.
+
+    The long form of an unlimited list of reasons: one row each, so neither a task nor a row holds them all.
+    """
+    counts = reason_counts(reports, keys)
+    return ranked(counts, keys, [F.col("count").desc(), F.col("reason").asc()])
+
+
 def health_transitions(
     reports: DataFrame,
     arrival: Sequence[str] = ("emitted_at", "event_id"),
