@@ -41,6 +41,9 @@ TRAIN, DELETED, HELD_OUT = 0, 1, 2
 UNIT_BYTES = 4 << 20
 # tokens of all documents for each range of hashes
 RANGE_TOKENS = 1 << 19
+# rows handed to Python at once while units are made, and tokens scored at once
+ROWS = 1000
+PIECE = 1 << 16
 # before a text, and what tells bigrams from trigrams
 START_CODE = np.uint64(0x13198A2E03707345)
 MIX_ONE, MIX_TWO = np.uint64(0xA4093822299F31D1), np.uint64(0x082EFA98EC4E6C89)
@@ -87,35 +90,60 @@ def row_of(schema: pa.Schema, *values) -> pa.RecordBatch:
 
 
 def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pack batches of (did, fold, text) into units with dictionaries; those of the deletion fold have odd numbers."""
-    schema, number = sql_to_arrow(UNITS_SQL), 0
+    """Pack batches of (did, fold, text) into units with dictionaries; those of the deletion fold have odd numbers.
+
+    A unit goes on over batches, so these can be small.
+    """
+    number, base = 0, TaskContext.get().partitionId() << 32
+    waiting: list[list[pa.RecordBatch]] = [[], []]
+    filled = [0, 0]
     for batch in batches:
         deletion = np.asarray(batch.column(1)) == DELETED
-        for kind in (False, True):
-            for piece in common.batches_of(iter([batch.filter(pa.array(deletion == kind))]), UNIT_BYTES):
-                codes, lengths = [], []
-                for part in common.batches_of(iter([piece])):
-                    words = spans.split_words(common.texts_of(part), lower=True)
-                    # every text's end follows its words
-                    lengths.append(np.diff(words.bounds) + 1)
-                    codes.append(np.insert(words.codes, words.bounds[1:], END_CODE))
-                words, places, seen = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
-                # most frequent first, as small numbers pack well
-                order = np.argsort(-seen, kind="stable")
-                rank = np.empty(len(words), dtype=np.int64)
-                rank[order] = np.arange(len(words))
-                unit = (TaskContext.get().partitionId() << 32) + 2 * number + kind
-                number += 1
-                yield row_of(
-                    schema,
-                    unit,
-                    len(places),
-                    np.asarray(piece.column(0)).tobytes(),
-                    np.asarray(piece.column(1)).astype(np.int8).tobytes(),
-                    np.concatenate(lengths).astype(np.int64).tobytes(),
-                    tighten(rank[places]),
-                    words[order].tobytes(),
-                )
+        for kind in (0, 1):
+            rest = batch.filter(pa.array(deletion == kind))
+            while rest.num_rows:
+                ends = np.cumsum([len(t) for t in common.texts_of(rest)])
+                fits = int(np.searchsorted(ends, UNIT_BYTES - filled[kind], side="right"))
+                if not waiting[kind]:
+                    fits = max(1, fits)
+                if fits:
+                    waiting[kind].append(rest.slice(0, fits))
+                    filled[kind] += int(ends[fits - 1])
+                    rest = rest.slice(fits)
+                if rest.num_rows:
+                    yield unit_row(waiting[kind], base + 2 * number + kind)
+                    number, waiting[kind], filled[kind] = number + 1, [], 0
+    for kind in (0, 1):
+        if waiting[kind]:
+            yield unit_row(waiting[kind], base + 2 * number + kind)
+            number += 1
+
+
+def unit_row(pieces: list[pa.RecordBatch], unit: int) -> pa.RecordBatch:
+    codes, lengths = [], []
+    for part in common.batches_of(iter(pieces)):
+        words = spans.split_words(common.texts_of(part), lower=True)
+        # every text's end follows its words
+        lengths.append(np.diff(words.bounds) + 1)
+        codes.append(np.insert(words.codes, words.bounds[1:], END_CODE))
+    codes = np.concatenate(codes)
+    words, places, seen = np.unique(codes, return_inverse=True, return_counts=True)
+    del codes
+    # most frequent first, as small numbers pack well
+    order = np.argsort(-seen, kind="stable")
+    rank = np.empty(len(words), dtype=np.int64)
+    rank[order] = np.arange(len(words))
+    tokens, places = len(places), rank[places]
+    return row_of(
+        sql_to_arrow(UNITS_SQL),
+        unit,
+        tokens,
+        b"".join(np.asarray(p.column(0)).tobytes() for p in pieces),
+        b"".join(np.asarray(p.column(1)).astype(np.int8).tobytes() for p in pieces),
+        np.concatenate(lengths).astype(np.int64).tobytes(),
+        tighten(places),
+        words[order].tobytes(),
+    )
 
 
 def before(values: np.ndarray, starts: np.ndarray, first) -> np.ndarray:
@@ -147,12 +175,15 @@ class Unit:
         one = before(here, self.starts, START_CODE)
         two = before(one, self.starts, START_CODE)
         pairs = one * MIX_ONE + here
-        del here, one, places
+        two *= MIX_TWO
+        two += pairs
+        del here, one, places, order, sorted_place
         for n in (2, 3):
             codes = np.zeros(0, dtype=np.uint64)
             if n in orders:
-                codes = spans.mix(pairs + BIGRAM if n == 2 else two * MIX_TWO + pairs + TRIGRAM)
+                codes = spans.mix(pairs + BIGRAM if n == 2 else two + TRIGRAM)
             grams, at = np.unique(codes, return_inverse=True)
+            del codes
             self.grams.append(grams)
             self.places.append(at.astype(np.uint32))
         if 1 not in orders:
@@ -173,14 +204,14 @@ class Unit:
             cuts = np.cumsum(np.frombuffer(reply["sizes"], dtype=np.int64))[:-1]
             for order, counts in zip(found, np.split(total, cuts), strict=True):
                 order.append(counts)
-        return [np.concatenate(order) for order in found]
+        # each order's parts go as they are joined
+        return [np.concatenate(found.pop(0)) for _ in range(3)]
 
     def contexts(self, counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Occurrences of the two tokens and of the one token before each token."""
         # as many texts start as end
         texts = counts[0][self.end]
-        pair, single = counts[1][self.places[1]], counts[0][self.places[0]]
-        return before(pair, self.starts, texts), before(single, self.starts, texts)
+        return tuple(before(counts[k][self.places[k]], self.starts, texts) for k in (1, 0))
 
 
 def asked_rows(parts: int, orders: tuple[int, ...]):
@@ -348,13 +379,19 @@ def scored_rows(weights: np.ndarray, tokens: int, kinds: int):
                 unit = Unit(row)
                 counts = unit.replied(row["replies"], "train", "deleted")
                 contexts = unit.contexts(counts)
-                own = weights[bucket_of(contexts[0])].T
-                # where a context has no estimate of some order, its weight goes to the others
-                mixed, share = own[3] / (kinds + 1), own[3].copy()
-                for k, under in enumerate((*contexts, np.int64(tokens))):
-                    mixed += own[k] * ratio(counts[2 - k][unit.places[2 - k]], under)
-                    share += own[k] * (under > 0)
                 single = counts[0]
+                logs = np.empty(len(contexts[0]))
+                # piece by piece, as four weights a token are large
+                for at in range(0, len(logs), PIECE):
+                    piece = slice(at, at + PIECE)
+                    own = weights[bucket_of(contexts[0][piece])].T
+                    # where a context has no estimate of some order, its weight goes to the others
+                    mixed, share = own[3] / (kinds + 1), own[3].copy()
+                    for k, under in enumerate((*(c[piece] for c in contexts), np.int64(tokens))):
+                        mixed += own[k] * ratio(counts[2 - k][unit.places[2 - k][piece]], under)
+                        share += own[k] * (under > 0)
+                    logs[piece] = np.log10(mixed / share)
+                del contexts
                 base = np.log10((single + 1) / (tokens + kinds + 1))
                 yield common.pack(
                     schema,
@@ -364,7 +401,7 @@ def scored_rows(weights: np.ndarray, tokens: int, kinds: int):
                     np.add.reduceat((single > 0).astype(np.int64)[unit.places[0]], unit.starts),
                     np.full(len(unit.lengths), tokens),
                     np.add.reduceat(base[unit.places[0]], unit.starts),
-                    np.add.reduceat(np.log10(mixed / share), unit.starts),
+                    np.add.reduceat(logs, unit.starts),
                 )
 
     return scored
@@ -377,7 +414,8 @@ def score(docs: DataFrame, *, folds: int = 7, held_out: int = 2, deleted: int =
     texts = docs.select(
         common.doc_key().alias("did"), kind.alias("fold"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
-    units = common.settle(texts.mapInArrow(unit_rows, UNITS_SQL), "units")
+    with common.batch_rows(docs.sparkSession, ROWS):
+        units = common.settle(texts.mapInArrow(unit_rows, UNITS_SQL), "units")
     parts = -(-(units.agg(F.sum("tokens")).first()[0] or 1) // RANGE_TOKENS)
     replies = []
     # in turn, as what is asked is the largest table
