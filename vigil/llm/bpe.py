@@ -108,24 +108,29 @@ class Codec:
         return out
 
     def encode_plain(self, text: str) -> list[int]:
-        """Ids of a text without special tokens, cut at its blanks."""
+        """Ids of a text without special tokens: in one go, or cut at its blanks if a stretch is longer than ``WHOLE``."""
         if not text:
             return []
         words = text.split(" ")
         if UNSAFE.search(text) is None:
+            if max(map(len, words)) < WHOLE:
+                return self.merging.encode_ordinary(text)
             ids = list(self.first[words[0]]) if words[0] else []
             ids.extend(chain.from_iterable(map(self.after.__getitem__, words[1:])))
             return ids
         # a blank after a blank or other white space is no safe cut
-        out: list[int] = []
+        stretches: list[str] = []
         held = words[0]
         for word in words[1:]:
             if not held or held[-1].isspace():
                 held += " " + word
             else:
-                out += self.first[held]
+                stretches.append(held)
                 held = " " + word
-        return out + list(self.first[held])
+        stretches.append(held)
+        if max(map(len, stretches)) <= WHOLE:
+            return self.merging.encode_ordinary(text)
+        return list(chain.from_iterable(map(self.first.__getitem__, stretches)))
 
     def tree(self, text: str) -> list[int]:
         """Ids of one stretch: whole if short, else its halves joined."""

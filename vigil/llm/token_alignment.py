@@ -70,7 +70,7 @@ class Pair:
         wanted = b" " + text.encode()
         ids_a = self.a.encode_plain(" " + text)
         ids_b = self.b.encode(text)[0]
-        if self.a.raw(ids_a) != wanted or b"".join(map(self.b.bytes_of.__getitem__, ids_b.tolist())) != wanted:
+        if self.a.merging.decode_bytes(ids_a) != wanted or b"".join(map(self.b.bytes_of.__getitem__, ids_b.tolist())) != wanted:
             return none, none
         return np.array(ids_a, np.int64), ids_b.astype(np.int64)
 
