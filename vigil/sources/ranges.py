@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from fnmatch import fnmatchcase
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ PIECE = 1 << 20
 FIRST = 1 << 16
 # How much further back a tail goes when it has too few lines yet.
 FURTHER = 8
+# Parts per shuffle partition over which written files are dealt.
+FILE_PARTS = 8
 LF, CR = 10, 13
 
 
@@ -221,16 +225,20 @@ def write_files(
                 files.move(f"{root}/{current}.part", f"{root}/{current}")
 
         for batch in batches:
-            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            named = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for file, rows in groupby(named, key=itemgetter(0)):
+                text = "\n".join(row[1] for row in rows).encode()
                 if file != current:
                     finish()
                     current, out = file, files.open_output_stream(f"{root}/{file}.part")
                 else:
                     out.write(b"\n")
-                out.write(text.encode())
+                out.write(text)
         finish()
         yield from ()
 
     rows = lines.select(name.alias("_file"), F.col(line).alias("_line"), *order)
-    dealt = rows.repartition("_file").sortWithinPartitions("_file", *order).select("_file", "_line")
+    # many parts, as two files in one of them wait for each other
+    parts = FILE_PARTS * int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "_file").sortWithinPartitions("_file", *order).select("_file", "_line")
     dealt.mapInArrow(written, "nothing int").count()
