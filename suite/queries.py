@@ -863,10 +863,11 @@ def tail_ranges(spark, sf):
 def spool_appends(spark, sf):
     """Four appends to one spool, in another order than the events'; what depends on arrival follows the appends."""
     folder = fresh_folder(spark, "appends")
-    lines = report_lines(spark, sf)
+    # an append reads its rows twice, and two results are taken from the reports
+    lines = settle(report_lines(spark, sf).select("event_id", "line"), "append-lines")
     for quarter in APPENDED:
         appends.append_reports(lines.where(F.col("event_id") % 4 == quarter), folder, ORDER)
-    reports = appends.read_spool(spark, folder)
+    reports = settle(appends.read_spool(spark, folder), "append-reports")
     table = summarize.summarize_by_node(reports, 5, spool.ARRIVAL, segment="file_path")
     last = reports.groupBy("node_id").agg(F.max_by(F.struct("seq", "health"), F.struct(*spool.ARRIVAL)).alias("last"))
     return table.join(last, "node_id").select(
